@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from velmira.llm import groupsplit, neardup, overlap
+from velmira.llm import bpe, groupsplit, mixture, neardup, overlap
 from velmira.session import table
 
 
@@ -16,6 +16,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "p1_report": lambda s, d: overlap.report(table(s, d, "patients"), table(s, d, "split_manifest")),
         "p4_found": lambda s, d: neardup.found(table(s, d, "patients")),
         "p7_found": lambda s, d: groupsplit.found(table(s, d, "patients"), table(s, d, "patient_links"), table(s, d, "split_manifest")),
+        "p8_ids": lambda s, d: bpe.encoded(table(s, d, "documents"), "doc_id", "text"),
+        "p8_roundtrip": lambda s, d: bpe.decoded(bpe.encoded(table(s, d, "documents"), "doc_id", "text"), "doc_id"),
+        "p9_mix": lambda s, d: mixture.mixture(table(s, d, "documents"), table(s, d, "source_targets")),
+        "p9_shares": lambda s, d: mixture.shares(table(s, d, "documents"), table(s, d, "source_targets")),
         "p7_splits": lambda s, d: groupsplit.splits(table(s, d, "patients"), table(s, d, "patient_links")),
     }
 
