@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from velmira.llm import bpe, groupsplit, mixture, neardup, overlap
+from velmira.llm import bpe, groupsplit, mixture, neardup, overlap, quality
 from velmira.session import table
 
 
@@ -20,6 +20,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "p8_roundtrip": lambda s, d: bpe.decoded(bpe.encoded(table(s, d, "documents"), "doc_id", "text"), "doc_id"),
         "p9_mix": lambda s, d: mixture.mixture(table(s, d, "documents"), table(s, d, "source_targets")),
         "p9_shares": lambda s, d: mixture.shares(table(s, d, "documents"), table(s, d, "source_targets")),
+        "p10_found": lambda s, d: quality.found(table(s, d, "documents")),
+        "p10_report": lambda s, d: quality.report(table(s, d, "documents")),
         "p7_splits": lambda s, d: groupsplit.splits(table(s, d, "patients"), table(s, d, "patient_links")),
     }
 
