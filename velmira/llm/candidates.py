@@ -8,6 +8,10 @@ Three narrow Python stages with two shuffles in between, all on packed arrays:
    skipped by position.  Shared lengths are added up per pair before anything leaves the task.
 3. ``total``: per pair, the shared lengths of all buckets; pairs with enough overlap stay.
 
+The overlap of a pair is measured in two ways: *own* words (chunk lengths without the closing window, which never
+overlap) and *covered* sixteenths of each text (the stretches that shared chunks take up).  A phrase that unlike
+texts have in common covers one short stretch only.
+
 No text meets itself; copies must be collapsed before (ids are unique per text).
 """
 
@@ -23,7 +27,9 @@ from pyspark.sql import functions as F
 
 from velmira.llm import textops as X
 
-_BLOCK = 2_000_000
+_BLOCK = 500_000
+_REGIONS = 16
+_BITS = np.array([bin(i).count("1") for i in range(1 << _REGIONS)], dtype=np.int64)
 
 
 @dataclass(frozen=True)
@@ -46,14 +52,14 @@ def rules_for(ratio: float, steps: tuple[tuple[int, int, int], ...]) -> tuple[Ch
 
 
 def chunks(words: np.ndarray, offsets: np.ndarray, rules: tuple[ChunkRule, ...], salt: np.ndarray):
-    """(row, digest, own length) of every content-defined chunk.
+    """(row, digest, own length, covered regions as bits) of every content-defined chunk.
 
     A text is cut where the rolling hash of the next ``window`` words is the least of ``reach`` neighbours.
     A chunk runs from one cut to the end of the rolling window at the next cut; its own length is the number
     of words between the two cuts, so own lengths of a text never overlap.
     """
     size = np.diff(offsets)
-    rows, digests, lengths = [], [], []
+    rows, digests, lengths, masks = [], [], [], []
     for tag, rule in enumerate(rules):
         wanted = (size >= rule.least) & (size < rule.most)
         if not wanted.any():
@@ -67,12 +73,16 @@ def chunks(words: np.ndarray, offsets: np.ndarray, rules: tuple[ChunkRule, ...],
         first, last = at[:-1][pair], at[1:][pair]
         gap = last - first
         r = row[1:][pair]
+        begin = first - go[r]
+        low = begin * _REGIONS // size[r]
+        high = np.minimum((begin + gap + rule.window - 1) * _REGIONS // size[r], _REGIONS - 1)
+        masks.append((1 << (high + 1)) - (1 << low))
         rows.append(r)
         lengths.append(gap)
         digests.append(X.mix(g[first] * np.uint64(3) + g[last] + gap.astype(np.uint64) * np.uint64(0x51ED27) + salt[r] + np.uint64(tag)))
     if not rows:
-        return np.empty(0, np.int64), np.empty(0, np.uint64), np.empty(0, np.int64)
-    return np.concatenate(rows), np.concatenate(digests), np.concatenate(lengths)
+        return np.empty(0, np.int64), np.empty(0, np.uint64), np.empty(0, np.int64), np.empty(0, np.int64)
+    return np.concatenate(rows), np.concatenate(digests), np.concatenate(lengths), np.concatenate(masks)
 
 
 # ---- packing -------------------------------------------------------------------------------------------------
@@ -113,12 +123,12 @@ def _chunk_stage(rules, buckets):
             uid = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
             salt = batch.column(2).to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)
             words, offsets = X.word_hashes(batch.column(1).to_pylist())
-            row, digest, length = chunks(words, offsets, rules, X.mix(salt))
+            row, digest, length, mask = chunks(words, offsets, rules, X.mix(salt))
             if len(row) == 0:
                 continue
             size = np.diff(offsets)
             # the low 16 bits only chose a bucket: 48 bits identify a chunk, the exact check follows
-            yield _batch(*_split(digest, buckets, [(digest >> np.uint64(16)).view(np.int64), uid[row], size[row], length]))
+            yield _batch(*_split(digest, buckets, [(digest >> np.uint64(16)).view(np.int64), uid[row], size[row], length | mask << 8]))
 
     return run
 
@@ -137,6 +147,16 @@ def _bucket_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[list[bytes]]:
         yield held
 
 
+def _joined(own, mask_a, mask_b, start) -> np.ndarray:
+    """Per pair: own words added up (low 32 bits), regions of either text united (16 bits each above)."""
+    a, b = np.bitwise_or.reduceat(mask_a, start), np.bitwise_or.reduceat(mask_b, start)
+    return np.add.reduceat(own, start) | a << 32 | b << 48
+
+
+def _regions(packed: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    return packed >> 32 & 0xFFFF, packed >> 48 & 0xFFFF
+
+
 def _meet_lists(digest, uid, size, length, ratio):
     """Summed shared lengths of the pairs of each digest's list, in blocks: yields (a, b, both sizes, shared)."""
     order = np.lexsort((uid, size, digest))
@@ -166,12 +186,15 @@ def _meet_lists(digest, uid, size, length, ratio):
         rep = partners[begin:end]
         right = np.repeat(np.arange(begin, end), rep)
         left = np.arange(len(right)) - np.repeat(np.cumsum(rep) - rep, rep) + np.repeat(first[begin:end], rep)
-        a, b = dense[left], dense[right]
-        a, b = np.minimum(a, b), np.maximum(a, b)
-        pair, inverse = np.unique(a * len(names) + b, return_inverse=True)
-        shared = np.bincount(inverse, weights=length[right]).astype(np.int64)
-        a, b = pair // len(names), pair % len(names)
-        yield names[a], names[b], of[a] + of[b], shared
+        swap = dense[left] > dense[right]
+        left, right = np.where(swap, right, left), np.where(swap, left, right)
+        pair = dense[left] * len(names) + dense[right]
+        order = np.argsort(pair, kind="stable")
+        pair, left, right = pair[order], left[order], right[order]
+        start = np.flatnonzero(np.r_[True, pair[1:] != pair[:-1]])
+        if len(start):
+            a, b = pair[start] // len(names), pair[start] % len(names)
+            yield names[a], names[b], of[a] + of[b], _joined(length[left] & 0xFF, length[left] >> 8, length[right] >> 8, start)
         begin = end
 
 
@@ -187,7 +210,7 @@ def _meet_stage(ratio, buckets):
     return run
 
 
-def _total_stage(fraction):
+def _total_stage(fraction, regions):
     def run(batches):
         for held in _bucket_groups(batches):
             parts = [_unpack(body, 4) for body in held]
@@ -195,8 +218,10 @@ def _total_stage(fraction):
             order = np.lexsort((b, a))
             a, b, sizes, shared = a[order], b[order], sizes[order], shared[order]
             start = np.flatnonzero(np.r_[True, (a[1:] != a[:-1]) | (b[1:] != b[:-1])])
-            total = np.add.reduceat(shared, start)
-            keep = total >= fraction * sizes[start] / 2
+            joined = _joined(shared & 0xFFFFFFFF, *_regions(shared), start)
+            total = joined & 0xFFFFFFFF
+            covered = np.minimum(*(_BITS[m] for m in _regions(joined)))
+            keep = (total >= fraction * sizes[start] / 2) & (covered >= regions)
             at = start[keep]
             yield pa.RecordBatch.from_arrays(
                 [pa.array(a[at]), pa.array(b[at]), pa.array(total[keep]), pa.array(sizes[at])],
@@ -207,9 +232,10 @@ def _total_stage(fraction):
 
 
 def overlapping_pairs(
-    texts: DataFrame, rules: tuple[ChunkRule, ...], ratio: float, fraction: float, buckets: int | None = None
+    texts: DataFrame, rules: tuple[ChunkRule, ...], ratio: float, fraction: float, regions: int, buckets: int | None = None
 ) -> DataFrame:
-    """Pairs of different texts whose shared chunks make up at least ``fraction`` of their mean size.
+    """Pairs of different texts whose shared chunks make up at least ``fraction`` of their mean size
+    in own words and cover ``regions`` sixteenths of both.
 
     ``texts``: ``uid BIGINT`` (unique), ``body STRING``, ``salt BIGINT`` (texts of different salt never meet).
     Gives ``a, b, shared_words, total_words`` with ``a < b``.  ``ratio``: sizes further apart than this (as word
@@ -217,16 +243,17 @@ def overlapping_pairs(
     first rule's ``least``, are in no pair; an empty input gives an empty result.
     """
     spark = texts.sparkSession
-    buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    buckets = buckets or 6 * tasks  # a task works through several buckets, one at a time
     packed = "bucket int, body binary"
     postings = texts.select("uid", "body", "salt").mapInArrow(_chunk_stage(rules, buckets), packed)
     met = (
-        postings.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(_meet_stage(ratio, buckets), packed)
+        postings.repartition(tasks, "bucket").sortWithinPartitions("bucket").mapInArrow(_meet_stage(ratio, buckets), packed)
     )
     return (
-        met.repartition(buckets, "bucket")
+        met.repartition(tasks, "bucket")
         .sortWithinPartitions("bucket")
-        .mapInArrow(_total_stage(fraction), "a bigint, b bigint, shared_words bigint, total_words bigint")
+        .mapInArrow(_total_stage(fraction, regions), "a bigint, b bigint, shared_words bigint, total_words bigint")
     )
 
 
