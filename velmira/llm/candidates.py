@@ -51,7 +51,18 @@ def rules_for(ratio: float, steps: tuple[tuple[int, int, int], ...]) -> tuple[Ch
     return tuple(rules)
 
 
-def chunks(words: np.ndarray, offsets: np.ndarray, rules: tuple[ChunkRule, ...], salt: np.ndarray):
+def set_sizes(words: np.ndarray, offsets: np.ndarray, k: int = 3) -> np.ndarray:
+    """Distinct runs of k words of each text, plus k - 1: the word count of a text that says nothing twice."""
+    g, go = X.grams(words, offsets, k)
+    out = np.zeros(len(offsets) - 1, np.int64)
+    for at in range(0, len(out), 1 << 14):
+        end = min(at + (1 << 14), len(out))
+        key = (g[go[at] : go[end]] & np.uint64(0xFFFFFFFFFFFF0000)) | X.row_index(go[at : end + 1]).astype(np.uint64)
+        out[at:end] = np.bincount((np.unique(key) & np.uint64(0xFFFF)).astype(np.int64), minlength=end - at)
+    return out + (k - 1)
+
+
+def chunks(words: np.ndarray, offsets: np.ndarray, rules: tuple[ChunkRule, ...], salt: np.ndarray, sizes: np.ndarray):
     """(row, digest, own length, covered regions as bits) of every content-defined chunk.
 
     A text is cut where the rolling hash of the next ``window`` words is the least of ``reach`` neighbours.
@@ -61,7 +72,8 @@ def chunks(words: np.ndarray, offsets: np.ndarray, rules: tuple[ChunkRule, ...],
     size = np.diff(offsets)
     rows, digests, lengths, masks = [], [], [], []
     for tag, rule in enumerate(rules):
-        wanted = (size >= rule.least) & (size < rule.most)
+        # the first rule's bound is one of words; the classes go by set size, which likeness compares
+        wanted = (size >= rules[0].least) & (sizes < rule.most) & ((sizes >= rule.least) if tag else True)
         if not wanted.any():
             continue
         g, go = X.grams(words, offsets, rule.window)
@@ -123,10 +135,10 @@ def _chunk_stage(rules, buckets):
             uid = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
             salt = batch.column(2).to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)
             words, offsets = X.word_hashes(batch.column(1).to_pylist())
-            row, digest, length, mask = chunks(words, offsets, rules, X.mix(salt))
+            size = set_sizes(words, offsets)
+            row, digest, length, mask = chunks(words, offsets, rules, X.mix(salt), size)
             if len(row) == 0:
                 continue
-            size = np.diff(offsets)
             # the low 16 bits only chose a bucket: 48 bits identify a chunk, the exact check follows
             yield _batch(*_split(digest, buckets, [(digest >> np.uint64(16)).view(np.int64), uid[row], size[row], length | mask << 8]))
 
