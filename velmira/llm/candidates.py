@@ -22,6 +22,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -98,22 +99,18 @@ def chunks(words: np.ndarray, offsets: np.ndarray, rules: tuple[ChunkRule, ...],
 
 
 # ---- packing -------------------------------------------------------------------------------------------------
-def _planes(x: np.ndarray) -> bytes:
-    """Byte planes of an int64 array: the zero planes vanish in the shuffle's compression."""
-    return np.ascontiguousarray(x.view(np.uint8).reshape(-1, 8).T).tobytes()
-
-
-def _unplanes(buf: bytes, count: int) -> np.ndarray:
-    return np.ascontiguousarray(np.frombuffer(buf, np.uint8).reshape(8, count).T).view(np.int64).ravel()
-
-
 def _pack(*columns: np.ndarray) -> bytes:
-    return b"".join(_planes(np.ascontiguousarray(c).view(np.int64)) for c in columns)
+    """int64 columns as byte planes under zstd; the first is kept as differences, its rows should come sorted."""
+    first = np.diff(columns[0].view(np.int64), prepend=0)
+    planes = [np.ascontiguousarray(c).view(np.uint8).reshape(-1, 8).T for c in (first, *(c.view(np.int64) for c in columns[1:]))]
+    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(np.concatenate(planes)).tobytes())
 
 
 def _unpack(buf: bytes, width: int) -> list[np.ndarray]:
-    n = len(buf) // (8 * width)
-    return [_unplanes(buf[i * 8 * n : (i + 1) * 8 * n], n) for i in range(width)]
+    raw = np.frombuffer(zstandard.ZstdDecompressor().decompress(buf), np.uint8).reshape(8 * width, -1)
+    columns = [np.ascontiguousarray(raw[8 * i : 8 * i + 8].T).view(np.int64).ravel() for i in range(width)]
+    columns[0] = np.cumsum(columns[0])
+    return columns
 
 
 def _batch(bucket: list[int], body: list[bytes]) -> pa.RecordBatch:
@@ -139,8 +136,8 @@ def _chunk_stage(rules, buckets):
             row, digest, length, mask = chunks(words, offsets, rules, X.mix(salt), size)
             if len(row) == 0:
                 continue
-            # the low 16 bits only chose a bucket: 48 bits identify a chunk, the exact check follows
-            yield _batch(*_split(digest, buckets, [(digest >> np.uint64(16)).view(np.int64), uid[row], size[row], length | mask << 8]))
+            # the low bits only chose a bucket: 40 bits identify a chunk, the exact check follows
+            yield _batch(*_split(digest, buckets, [uid[row], (digest >> np.uint64(24)).view(np.int64), size[row], length | mask << 8]))
 
     return run
 
@@ -214,7 +211,7 @@ def _meet_stage(ratio, buckets):
     def run(batches):
         for held in _bucket_groups(batches):
             parts = [_unpack(body, 4) for body in held]
-            digest, uid, size, length = (np.concatenate([p[i] for p in parts]) for i in range(4))
+            uid, digest, size, length = (np.concatenate([p[i] for p in parts]) for i in range(4))
             for a, b, sizes, shared in _meet_lists(digest, uid, size, length, ratio):
                 key = X.mix(a.view(np.uint64) * np.uint64(3) + X.mix(b.view(np.uint64)))
                 yield _batch(*_split(key, buckets, [a, b, sizes, shared]))
@@ -302,10 +299,22 @@ def _check_stage(least):
     return run
 
 
+_FILTER_BITS = 1 << 23
+
+
+def _wanted(texts: DataFrame, pairs: DataFrame) -> DataFrame:
+    """The texts that may stand in a pair: a bit table of fixed size (at most 131,072 longs, so safe to broadcast)
+    keeps most others out of the shuffle.  It lets some through, which the joins then drop; it never drops one."""
+    place = lambda c: F.pmod(F.xxhash64(c), F.lit(_FILTER_BITS))
+    ends = pairs.select(F.explode(F.array("a", "b")).alias("uid")).select(place("uid").alias("p"))
+    table = ends.groupBy(F.shiftright("p", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(p % 64 as int))")).alias("bits"))
+    placed = texts.withColumn("p", place("uid")).withColumn("word", F.shiftright("p", 6))
+    return placed.join(F.broadcast(table), "word").where("shiftrightunsigned(bits, cast(p % 64 as int)) & 1 = 1").select("uid", "body")
+
+
 def verified(pairs: DataFrame, texts: DataFrame, least: float) -> DataFrame:
     """``a, b, likeness`` of the pairs whose exact likeness (runs of three words) is at least ``least``."""
-    # a cast by name makes one exchange of the texts serve both joins
-    bodies = texts.select("uid", "body")
+    bodies = _wanted(texts.select("uid", "body"), pairs)
     right = pairs.select("a", "b").join(bodies.withColumnsRenamed({"uid": "b", "body": "right_body"}), "b")
     both = right.join(bodies.withColumnsRenamed({"uid": "a", "body": "left_body"}), "a")
     return both.select("a", "b", "left_body", "right_body").mapInArrow(_check_stage(least), "a bigint, b bigint, likeness double")
