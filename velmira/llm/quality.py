@@ -23,12 +23,10 @@ COMMON = (
     "el los las no está del y en con por lo fue mientras se más pero para su"
 ).split()
 
-_WORD = r"\p{L}+"
-_COMMON = r"(?iU)\b(?:" + "|".join(COMMON) + r")\b"
-_SENTENCE = r"\p{L}[\p{L}\p{N}]*[)\"”’]*[.!?](?:\s|$)"
-_ITEM = r"(?m)^[ \t]*(?:[-*+•▪–—◦·‣]|\(?\d{1,3}[.)]|\(?[a-zA-Z][.)]|\[\d{1,3}\])[ \t]+\S"
-_LINE = r"[^\r\n]*[^\s][^\r\n]*"
-_CELLS = {"pipe": r"\|", "tab": r"\t", "comma": r",", "semicolon": r";"}
+# every pattern is linear in the text: no repeated group can be entered at more than one place
+_SENTENCE = r"[.!?](?<=\p{L}\p{N}{0,2}[)\"”’]{0,2}[.!?])[)\"”’]?(?:\s|$)"
+_ITEM = r"^[ \t]*(?:[-*+•▪–—◦·‣]|\(?\d{1,3}[.)]|\(?[a-zA-Z][.)]|\[\d{1,3}\])[ \t]+\S"
+_CELL_MARKS = ("|", "\t", ",", ";")
 
 FEATURES = (
     "n_chars", "n_tokens", "n_lines", "mean_word", "letter_share", "digit_share", "symbol_share", "common_share", "sentence_words",
@@ -36,34 +34,31 @@ FEATURES = (
 )
 
 
-def _count(text: Column, pattern: str) -> Column:
-    return F.regexp_count(text, F.lit(pattern))
-
-
-def _chars(text: Column, pattern: str) -> Column:
-    return F.length(text) - F.length(F.regexp_replace(text, pattern, ""))
-
-
 def statistics(documents: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """``keep`` columns and ``FEATURES`` of each row."""
     t = F.col("__t")
     base = documents.select(*keep, F.coalesce(F.col(text), F.lit("")).alias("__t"))
-    lines = F.filter(F.split(t, r"[\r\n]+"), lambda x: F.length(F.trim(x)) > 0)
-    tokens = F.filter(F.split(F.lower(t), r"\s+"), lambda x: F.length(x) > 0)
-    base = base.withColumns({"__lines": lines, "__tokens": tokens})
+    full = lambda pieces: F.filter(pieces, lambda x: F.length(x) > 0)
+    base = base.withColumns(
+        {
+            "__lines": F.filter(F.split(t, r"[\r\n]+"), lambda x: F.length(F.trim(x)) > 0),
+            "__tokens": full(F.split(F.lower(t), r"\s+")),
+            "__words": full(F.split(F.lower(t), r"[^\p{L}]+")),
+        }
+    )
     base = base.withColumns(
         {
             "n_chars": F.length(t).cast("double"),
-            "__ink": _chars(t, r"\S+").cast("double"),
+            "__ink": F.length(F.array_join("__tokens", "")).cast("double"),
             "n_tokens": F.size("__tokens").cast("double"),
             "n_lines": F.size("__lines").cast("double"),
-            "__letters": _chars(t, r"\p{L}+").cast("double"),
-            "__words": _count(t, _WORD).cast("double"),
-            "__digits": _chars(t, r"\p{N}+").cast("double"),
-            "__common": _count(t, _COMMON).cast("double"),
-            "__sentences": _count(t, _SENTENCE).cast("double"),
-            "__separators": _count(t, r"[;,|•·]").cast("double"),
-            "__long": _chars(t, r"\S{30,}").cast("double"),
+            "__letters": F.length(F.array_join("__words", "")).cast("double"),
+            "n_words": F.size("__words").cast("double"),
+            "__digits": F.length(t).cast("double") - F.length(F.translate(t, "0123456789", "")),
+            "__common": F.size(F.filter("__words", lambda x: x.isin(*COMMON))).cast("double"),
+            "__sentences": F.regexp_count(t, F.lit(_SENTENCE)).cast("double"),
+            "__separators": F.length(t).cast("double") - F.length(F.translate(t, ";,|•·", "")),
+            "__long": F.length(F.array_join(F.filter("__tokens", lambda x: F.length(x) >= 30), "")).cast("double"),
         }
     )
     # Shares of the text's length.  A line is tabular if it has as many cells (three or more, short on average) as
@@ -71,13 +66,14 @@ def statistics(documents: DataFrame, text: str = "text", keep: tuple[str, ...] =
     weight = lambda xs: F.aggregate(xs, F.lit(0), lambda acc, x: acc + F.length(x))
     whole = F.nullif(weight(F.col("__lines")), F.lit(0))
 
-    def tabular(count) -> Column:
+    def tabular(mark: str) -> Column:
+        count = lambda x: F.length(x) - F.length(F.replace(x, F.lit(mark), F.lit("")))
         last = F.coalesce(count(F.try_element_at("__lines", F.lit(-1))), F.lit(0))
-        same = F.filter("__lines", lambda x: (count(x) == last) & (last >= 2) & (F.length(x) <= 32 * (last + 1)))
-        return F.when(F.size(same) >= 2, weight(same) / whole).otherwise(0.0)
+        same = F.filter("__lines", lambda x: (F.length(x) <= 32 * (last + 1)) & (count(x) == last))
+        return F.when((last >= 2) & (F.size(same) >= 2), weight(same) / whole).otherwise(0.0)
 
-    ways = [tabular(lambda x, p=p: F.regexp_count(x, F.lit(p))) for p in _CELLS.values()]
-    gaps = F.filter("__lines", lambda x: F.regexp_count(F.trim(x), F.lit(r"\S {2,}(?=\S)")) >= 2)
+    ways = [tabular(mark) for mark in _CELL_MARKS]
+    gaps = F.filter("__lines", lambda x: F.contains(x, F.lit("  ")) & (F.regexp_count(F.trim(x), F.lit(r"\S {2,}(?=\S)")) >= 2))
     ways.append(F.when(F.size(gaps) >= 2, weight(gaps) / whole).otherwise(0.0))
     items = F.filter("__lines", lambda x: x.rlike(_ITEM))
     ended = F.filter("__lines", lambda x: F.rtrim(x).rlike(r"[.!?:;,]$"))
@@ -85,11 +81,11 @@ def statistics(documents: DataFrame, text: str = "text", keep: tuple[str, ...] =
     return base.select(
         *keep,
         "n_chars", "n_tokens", "n_lines",
-        over("__letters", "__words").alias("mean_word"),
+        over("__letters", "n_words").alias("mean_word"),
         over("__letters", "__ink").alias("letter_share"),
         over("__digits", "__ink").alias("digit_share"),
         F.when(F.col("__ink") > 0, 1 - (F.col("__letters") + F.col("__digits")) / F.col("__ink")).otherwise(0.0).alias("symbol_share"),
-        over("__common", "__words").alias("common_share"),
+        over("__common", "n_words").alias("common_share"),
         F.when(F.col("__sentences") > 0, F.least(F.col("n_tokens") / F.col("__sentences"), F.lit(999.0))).otherwise(999.0).alias("sentence_words"),
         F.coalesce(weight(items) / whole, F.lit(0.0)).alias("item_share"),
         over("n_tokens", "n_lines").alias("tokens_per_line"),
@@ -115,7 +111,9 @@ def kind(rules=RULES, default: str = DEFAULT) -> Column:
 
 def found(documents: DataFrame) -> DataFrame:
     """p10_found: ``doc_id, kind`` of the documents that are mostly list, table or junk."""
-    return statistics(documents).select("doc_id", kind().alias("kind")).where("kind <> 'prose'")
+    # the running number keeps the filter above the statistics: pushed below, it would compute all of them again
+    kinds = statistics(documents).select("doc_id", kind().alias("kind"), F.monotonically_increasing_id().alias("__at"))
+    return kinds.where("kind <> 'prose' and __at >= 0").select("doc_id", "kind")
 
 
 def report(documents: DataFrame) -> DataFrame:

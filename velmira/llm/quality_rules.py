@@ -8,9 +8,9 @@ RULES = (
     ('list', (('symbol_share', '>', 0.0276), ('letter_share', '>', 0.9182), ('common_share', '<=', 0.2168))),
     ('list', (('tokens_per_line', '<=', 6.8467), ('tokens_per_line', '>', 2.089), ('letter_share', '>', 0.9874), ('distinct_rate', '>', 2.666))),
     ('list', (('tokens_per_line', '<=', 7.772), ('item_share', '>', 0.5096))),
-    ('list', (('common_share', '<=', 0.0187), ('mean_word', '>', 4.8093), ('distinct_rate', '>', 2.0849), ('tokens_per_line', '<=', 7.9673), ('mean_word', '>', 4.971))),
-    ('list', (('separator_rate', '>', 0.2853), ('letter_share', '>', 0.9012), ('mean_word', '>', 3.3349))),
-    ('junk', (('common_share', '<=', 0.212), ('sentence_words', '>', 25.3968), ('mean_word', '<=', 4.8541))),
-    ('junk', (('common_share', '<=', 0.1982), ('common_share', '<=', 0.1725))),
-    ('junk', (('distinct_rate', '<=', 2.8723),)),
+    ('list', (('common_share', '<=', 0.0125), ('mean_word', '>', 4.8509), ('distinct_rate', '>', 2.1714), ('tokens_per_line', '<=', 7.5369))),
+    ('list', (('separator_rate', '>', 0.2505), ('letter_share', '>', 0.9087))),
+    ('junk', (('common_share', '<=', 0.2018),)),
+    ('junk', (('distinct_rate', '<=', 3.1181),)),
+    ('junk', (('mean_word', '<=', 4.3471), ('common_share', '<=', 0.3048))),
 )
