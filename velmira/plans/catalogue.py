@@ -6,9 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from velmira.operators import units, unpack
+from velmira.session import table
+
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    return {
+        "p2_found": lambda s, d: units.ages_in_days(table(s, d, "patients")),
+        "p3_found": lambda s, d: unpack.unpacked(table(s, d, "patients")),
+        "p3_delimiters": lambda s, d: unpack.infer_delimiters(unpack.packed_values(table(s, d, "patients"), "record_id", unpack.FIELDS, "source")),
+    }
 
 
 def oracle_sql() -> dict[str, str]:
