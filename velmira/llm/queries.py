@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from velmira.llm import bpe, canon, groupsplit, mixture, neardup, overlap, quality
+from velmira.llm import bpe, canon, groupsplit, mixture, neardup, overlap, quality, scans
 from velmira.session import table
 
 
@@ -16,6 +16,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "p1_report": lambda s, d: overlap.report(table(s, d, "patients"), table(s, d, "split_manifest")),
         "p4_found": lambda s, d: neardup.found(table(s, d, "patients")),
         "p5_found": lambda s, d: canon.found(table(s, d, "subcaptions"), table(s, d, "modality_ref"), table(s, d, "region_ref")),
+        "p6_found": lambda s, d: scans.traces(table(s, d, "patients"), table(s, d, "task_evidence")),
+        "p6_repaired": lambda s, d: scans.repaired(table(s, d, "patients"), table(s, d, "task_evidence")),
         "p7_found": lambda s, d: groupsplit.found(table(s, d, "patients"), table(s, d, "patient_links"), table(s, d, "split_manifest")),
         "p8_ids": lambda s, d: bpe.encoded(table(s, d, "documents"), "doc_id", "text"),
         "p8_roundtrip": lambda s, d: bpe.decoded(bpe.encoded(table(s, d, "documents"), "doc_id", "text"), "doc_id"),
