@@ -268,18 +268,26 @@ def overlapping_pairs(
 
 # ---- exact check ---------------------------------------------------------------------------------------------
 def likeness_of_batches(left: list[str], right: list[str], k: int = 3) -> np.ndarray:
-    """Shared distinct runs of k words over all distinct runs, text by text; 0 where neither has any."""
-    out = np.zeros(len(left))
-    step = 1 << 14
+    """Shared distinct runs of k words over all distinct runs, text by text; 0 where neither has any.
+
+    A text that stands in several pairs is taken apart once.
+    """
+    number: dict[str, int] = {}
+    sides = [np.array([number.setdefault(t, len(number)) for t in texts], dtype=np.int64) for texts in (left, right)]
+    g, go = X.grams(*X.word_hashes(number), k)
+    g = g & np.uint64(0xFFFFFFFFFFFF0000)
+    out, step = np.zeros(len(left)), 1 << 14
     for at in range(0, len(left), step):
-        sides = []
-        for texts in (left[at : at + step], right[at : at + step]):
-            g, go = X.grams(*X.word_hashes(texts), k)
-            key = (g & np.uint64(0xFFFFFFFFFFFF0000)) | X.row_index(go).astype(np.uint64)
-            sides.append(np.unique(key))
-        both = np.intersect1d(*sides, assume_unique=True)
-        n = len(left[at : at + step])
-        count = [np.bincount((s & np.uint64(0xFFFF)).astype(np.int64), minlength=n) for s in (*sides, both)]
+        sets = []
+        for side in sides:
+            which = side[at : at + step]
+            size = go[which + 1] - go[which]
+            start = np.concatenate(([0], np.cumsum(size)))
+            take = np.repeat(go[which] - start[:-1], size) + np.arange(start[-1])
+            sets.append(np.unique(g[take] | np.repeat(np.arange(len(which), dtype=np.uint64), size)))
+        both = np.intersect1d(*sets, assume_unique=True)
+        n = len(sides[0][at : at + step])
+        count = [np.bincount((s & np.uint64(0xFFFF)).astype(np.int64), minlength=n) for s in (*sets, both)]
         union = count[0] + count[1] - count[2]
         out[at : at + step] = np.where(union > 0, count[2] / np.maximum(union, 1), 0.0)
     return out
