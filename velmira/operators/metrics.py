@@ -17,7 +17,11 @@ def confusion(df: DataFrame, by: list[str]) -> DataFrame:
 def class_report(df: DataFrame, by: list[str]) -> DataFrame:
     """``by, label, precision, recall, f1, support`` over the union of labels seen in y or p."""
     cells = confusion(df, by)
-    sides = cells.select(*by, F.explode(F.array(F.struct(F.col("y").alias("label"), F.col("n").alias("as_y"), F.lit(0).cast("long").alias("as_p")), F.struct(F.col("p"), F.lit(0).cast("long"), F.col("n")))).alias("s"), F.when(F.col("y") == F.col("p"), F.col("n")).otherwise(0).alias("hit"))
+    none = F.lit(0).cast("long")
+    as_y = F.struct(F.col("y").alias("label"), F.col("n").alias("as_y"), none.alias("as_p"))
+    as_p = F.struct(F.col("p").alias("label"), none.alias("as_y"), F.col("n").alias("as_p"))
+    hit = F.when(F.col("y") == F.col("p"), F.col("n")).otherwise(0)
+    sides = cells.select(*by, F.explode(F.array(as_y, as_p)).alias("s"), hit.alias("hit"))
     sums = sides.where("s.label is not null").groupBy(*by, F.col("s.label").alias("label")).agg(F.sum("s.as_y").alias("support"), F.sum("s.as_p").alias("predicted"), (F.sum("hit") / 2).alias("tp"))
     ratio = lambda a, b: F.coalesce(F.try_divide(F.col(a), F.col(b)), F.lit(0.0))
     rated = sums.withColumns({"precision": ratio("tp", "predicted"), "recall": ratio("tp", "support")})

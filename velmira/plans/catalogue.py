@@ -93,10 +93,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "q36_pivot": lambda s, d: report.pivoted(_results(s, d), "baseline", ["task", "tier"], _KEYS, "f1").select("baseline", *(r6(k) for k in _KEYS)),
         "q37_overall": lambda s, d: _results(s, d).groupBy("baseline", "tier").agg(r6(F.avg("f1"), "f1")),
         "q41_class_weights": lambda s, d: metrics.class_weights(_preds(s, d), ["task"]).select("task", "y", "n", r6("weight")),
-        "q43_quality_gate": lambda s, d: table(s, d, "part").select("p_partkey", images.failure_reason().alias("reason")) if False else table(s, d, "part").select("p_partkey", (F.col("p_partkey") % 50 != 0).alias("file_exists"), (F.col("p_retailprice") / 30).alias("file_size_mb"), (F.col("p_size") * 90).alias("width"), (F.col("p_size") * 60).alias("height")).select("p_partkey", images.failure_reason().alias("reason")),
+        "q43_quality_gate": lambda s, d: table(s, d, "part").select("p_partkey", (F.col("p_partkey") % 50 != 0).alias("file_exists"), (F.col("p_retailprice") / 30).alias("file_size_mb"), (F.col("p_size") * 90).alias("width"), (F.col("p_size") * 60).alias("height")).select("p_partkey", images.failure_reason().alias("reason")),
         "q44_best_rendition": lambda s, d: images.best_rendition(_panels(s, d).select(F.col("subfigure_path").alias("path")).union(_panels(s, d).select(F.regexp_replace("subfigure_path", r"\.\w+$", ".png")))),
         "q45_duplicates": lambda s, d: images.duplicates(table(s, d, "part").select(F.col("p_partkey").alias("path"), F.md5(F.concat("p_brand", "p_type")).alias("digest")), "digest"),
-        "q46_gap_clusters": lambda s, d: report.gap_clusters(table(s, d, "orders").select("o_custkey", (F.col("o_orderkey") % 1000).cast("long").alias("at")).distinct(), ["o_custkey"], "at", 20),
+        "q46_gap_clusters": lambda s, d: report.gap_clusters(table(s, d, "orders").select("o_custkey", (F.col("o_orderkey") % 1000).cast("long").alias("place")).distinct(), ["o_custkey"], "place", 20),
         "q47_sessions": lambda s, d: incremental.sessions(table(s, d, "events"), "user_id", "ts", "30 minutes").groupBy("user_id").agg(F.count("*").alias("n_sessions"), F.sum("n").alias("n_events")),
         "q48_nms": lambda s, d: images.suppressed(_boxes(s, d)),
         "q53_explode_references": lambda s, d: _panels(s, d).select("subfig_id", F.inline("intext_references")),
@@ -163,7 +163,7 @@ def oracle_sql() -> dict[str, str]:
         "q43_quality_gate": "SELECT p_partkey, CASE WHEN p_partkey % 50 = 0 THEN 'missing' WHEN p_retailprice/30 < 0.001 THEN 'too_small_file' WHEN p_retailprice/30 > 50 THEN 'too_large_file' WHEN least(p_size*90, p_size*60) < 100 THEN 'too_small' WHEN greatest(p_size*90, p_size*60) > 4096 THEN 'too_large' END AS reason FROM part",
         "q44_best_rendition": r"WITH u AS (SELECT subfigure_path AS path FROM subcaptions UNION ALL SELECT regexp_replace(subfigure_path, '\.\w+$', '.png') FROM subcaptions), x AS (SELECT path, regexp_replace(path, '\.[A-Za-z0-9]+$', '') AS stem, coalesce(nullif(list_position(['.jpg','.jpeg','.png','.gif','.tif','.tiff'], lower(regexp_extract(path, '(\.[A-Za-z0-9]+)$', 1))), 0), 99) AS k FROM u) SELECT stem, arg_min(path, (k, path)) AS best, count(*) AS n_renditions FROM x GROUP BY stem",
         "q45_duplicates": "SELECT p_partkey AS path, md5(p_brand || p_type) AS digest, row_number() OVER (PARTITION BY md5(p_brand || p_type) ORDER BY p_partkey) > 1 AS is_duplicate FROM part",
-        "q46_gap_clusters": "WITH u AS (SELECT DISTINCT o_custkey, o_orderkey % 1000 AS at FROM orders), a AS (SELECT *, CASE WHEN at - lag(at) OVER (PARTITION BY o_custkey ORDER BY at) >= 20 THEN 1 ELSE 0 END AS g FROM u), b AS (SELECT *, CAST(sum(g) OVER (PARTITION BY o_custkey ORDER BY at ROWS UNBOUNDED PRECEDING) AS BIGINT) AS cluster FROM a) SELECT o_custkey, cluster, CAST(floor(avg(at)) AS BIGINT) AS centre, count(*) AS n FROM b GROUP BY ALL",
+        "q46_gap_clusters": "WITH u AS (SELECT DISTINCT o_custkey, o_orderkey % 1000 AS place FROM orders), a AS (SELECT *, CASE WHEN place - lag(place) OVER (PARTITION BY o_custkey ORDER BY place) >= 20 THEN 1 ELSE 0 END AS g FROM u), b AS (SELECT *, CAST(sum(g) OVER (PARTITION BY o_custkey ORDER BY place ROWS UNBOUNDED PRECEDING) AS BIGINT) AS cluster FROM a) SELECT o_custkey, cluster, CAST(floor(avg(place)) AS BIGINT) AS centre, count(*) AS n FROM b GROUP BY ALL",
         "q47_sessions": "WITH a AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) <= INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS g FROM events) SELECT user_id, CAST(sum(g) AS BIGINT) AS n_sessions, count(*) AS n_events FROM a GROUP BY user_id",
         "q53_explode_references": "SELECT subfig_id, r.figure AS figure, r.sentence AS sentence FROM (SELECT subfig_id, unnest(intext_references) AS r FROM subcaptions)",
         "q57_valid_quotes": r"SELECT gt_id, CASE WHEN length(regexp_replace(evidence_quote, '^\s+|\s+$', '', 'g')) >= 15 THEN truth END AS kept, contains(redacted, '[redacted]') AS masked FROM task_evidence",
