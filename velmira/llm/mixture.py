@@ -33,7 +33,7 @@ def apportion(weights: np.ndarray, seats: int, caps: np.ndarray | None = None) -
     A capped entry takes no more than its cap, the rest goes on among the others.
     """
     weights = np.asarray(weights, float)
-    caps = np.full(len(weights), np.iinfo(np.int64).max // 4) if caps is None else np.asarray(caps, np.int64)
+    caps = np.full(len(weights), 1 << 50) if caps is None else np.asarray(caps, np.int64)
     seats = int(min(seats, caps[weights > 0].sum())) if (weights > 0).any() else 0
     if seats <= 0:
         return np.zeros(len(weights), np.int64)

@@ -90,7 +90,7 @@ def minima(hashes: np.ndarray, offsets: np.ndarray, window: int) -> np.ndarray:
     ends = offsets[1:][row]
     top = np.uint64(0xFFFFFFFFFFFFFFFF)
     low = hashes.copy()
-    for j in range(1, window):
+    for j in range(1, min(window, n)):
         ahead = np.full(n, top)
         ahead[: n - j] = hashes[j:]
         ahead[np.arange(n) + j >= ends] = top
@@ -99,7 +99,7 @@ def minima(hashes: np.ndarray, offsets: np.ndarray, window: int) -> np.ndarray:
     at = np.arange(n)
     opens = (at + window <= ends) | (at == starts)
     taken = opens & (low == hashes)
-    for j in range(1, window):
+    for j in range(1, min(window, n)):
         same = opens[: n - j] & (low[: n - j] == hashes[j:]) & (at[j:] < ends[: n - j])
         taken[j:] |= same
     return np.flatnonzero(taken)
