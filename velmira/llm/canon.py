@@ -19,6 +19,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from velmira.session import cut
+
 THRESHOLDS = {"modality": 0.42, "anatomical_region": 0.36}
 REFERENCE_ROWS = 20_000
 # fixed values: signs for a missing value
@@ -118,7 +120,9 @@ def best_matches(values: DataFrame, spellings: DataFrame, threshold: float) -> D
             .withColumn("n", F.size("o"))
         )
         length = (F.col("n") - F.ceil(F.lit(threshold) * F.col("n") - 1e-9) + 1).cast("int")
-        return ordered.select(*key, "n", F.posexplode(F.slice("o", 1, length)).alias("place", "x")).select(*key, "n", "place", "x.token")
+        # the whole set goes along, so the check needs neither another join nor the set again
+        every = F.transform("o", lambda x: x["token"])
+        return ordered.select(*key, "n", every.alias(tokens), F.posexplode(F.slice("o", 1, length)).alias("place", "x")).select(*key, "n", tokens, "place", "x.token")
 
     left = prefixes(values.withColumn("set", pairs_of(F.col("spelling"))), ["spelling"], "set")
     right = prefixes(refs, ["ref_id", "ref_spelling", "side", "exact"], "ref_set").withColumnsRenamed({"n": "m", "place": "ref_place"})
@@ -132,10 +136,12 @@ def best_matches(values: DataFrame, spellings: DataFrame, threshold: float) -> D
         .where("nth = 1")
         .where(most / (F.col("n") + F.col("m") - most) >= threshold - 1e-9)
     )
-    a, b, side = pairs_of(F.col("spelling")), pairs_of(F.col("ref_spelling")), pairs_of(F.col("side"))
     likeness = lambda x, y: F.size(F.array_intersect(x, y)) / F.greatest(F.size(F.array_union(x, y)), F.lit(1))
-    checked = met.withColumns({"likeness": likeness(a, b), "rest": F.when(F.col("side") == "", likeness(a, b)).otherwise(likeness(F.array_except(a, side), F.array_except(b, side)))})
-    good = checked.where((F.col("likeness") >= threshold) & (F.col("rest") >= threshold) & (~F.col("exact") | (F.col("likeness") == 1)))
+    checked = met.withColumns({"likeness": likeness("set", "ref_set"), "__at": F.monotonically_increasing_id()})
+    checked = checked.where((F.col("likeness") >= threshold) & (~F.col("exact") | (F.col("likeness") == 1)) & (F.col("__at") >= 0))
+    side = pairs_of(F.col("side"))
+    rest = F.when(F.col("side") == "", F.col("likeness")).otherwise(likeness(F.array_except("set", side), F.array_except("ref_set", side)))
+    good = checked.withColumn("rest", rest).where(F.col("rest") >= threshold)
     return good.groupBy("spelling").agg(
         F.max_by("ref_id", F.struct("likeness", "rest", (-F.col("ref_id")).alias("r"))).alias("ref_id"), F.max("likeness").alias("likeness")
     )
@@ -151,7 +157,8 @@ def found(subcaptions: DataFrame, modality_ref: DataFrame, region_ref: DataFrame
         typed = subcaptions.select("subfig_id", F.col(field).alias("typed")).where(F.col("typed").isNotNull())
         plain = F.lower(F.trim(F.regexp_replace("typed", r"[\s ]+", " ")))
         typed = typed.where(~plain.isin(*MISSING)).join(F.broadcast(ref.select(F.col(name).alias("typed"))), "typed", "left_anti")
-        typed = typed.withColumn("spelling", spelled(F.col("typed"), sides))
-        best = best_matches(typed.select("spelling").where("spelling <> ''").distinct(), spellings, THRESHOLDS[field])
-        parts.append(typed.join(best, "spelling", "left").select("subfig_id", F.lit(field).alias("field"), F.coalesce("ref_id", F.lit(0)).alias("ref_id")))
+        different = cut(typed.select("typed").distinct().withColumn("spelling", spelled(F.col("typed"), sides)))
+        best = best_matches(different.select("spelling").where("spelling <> ''").distinct(), spellings, THRESHOLDS[field])
+        mapped = different.join(best, "spelling", "left").select("typed", "ref_id")
+        parts.append(typed.join(mapped, "typed", "left").select("subfig_id", F.lit(field).alias("field"), F.coalesce("ref_id", F.lit(0)).alias("ref_id")))
     return parts[0].unionByName(parts[1])
