@@ -131,13 +131,14 @@ def _chunk_stage(rules, buckets):
         for batch in batches:
             uid = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
             salt = batch.column(2).to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)
+            side = batch.column(3).to_numpy(zero_copy_only=False).astype(np.int64)
             words, offsets = X.word_hashes(batch.column(1).to_pylist())
             size = set_sizes(words, offsets)
             row, digest, length, mask = chunks(words, offsets, rules, X.mix(salt), size)
             if len(row) == 0:
                 continue
             # the low bits only chose a bucket: 40 bits identify a chunk, the exact check follows
-            yield _batch(*_split(digest, buckets, [uid[row], (digest >> np.uint64(24)).view(np.int64), size[row], length | mask << 8]))
+            yield _batch(*_split(digest, buckets, [uid[row], (digest >> np.uint64(24)).view(np.int64), size[row], length | side[row] << 6 | mask << 8]))
 
     return run
 
@@ -195,6 +196,10 @@ def _meet_lists(digest, uid, size, length, ratio):
         rep = partners[begin:end]
         right = np.repeat(np.arange(begin, end), rep)
         left = np.arange(len(right)) - np.repeat(np.cumsum(rep) - rep, rep) + np.repeat(first[begin:end], rep)
+        # own length in the low six bits, then the two sides, then the regions
+        sides, others = length[left] >> 6 & 3, length[right] >> 6 & 3
+        across = ((sides & 1) & (others >> 1)) | ((sides >> 1) & (others & 1)) == 1
+        left, right = left[across], right[across]
         swap = dense[left] > dense[right]
         left, right = np.where(swap, right, left), np.where(swap, left, right)
         pair = dense[left] * len(names) + dense[right]
@@ -203,7 +208,7 @@ def _meet_lists(digest, uid, size, length, ratio):
         start = np.flatnonzero(np.r_[True, pair[1:] != pair[:-1]])
         if len(start):
             a, b = pair[start] // len(names), pair[start] % len(names)
-            yield names[a], names[b], of[a] + of[b], _joined(length[left] & 0xFF, length[left] >> 8, length[right] >> 8, start)
+            yield names[a], names[b], of[a] + of[b], _joined(length[left] & 0x3F, length[left] >> 8, length[right] >> 8, start)
         begin = end
 
 
@@ -246,7 +251,8 @@ def overlapping_pairs(
     """Pairs of different texts whose shared chunks make up at least ``fraction`` of their mean size
     in own words and cover ``regions`` sixteenths of both.
 
-    ``texts``: ``uid BIGINT`` (unique), ``body STRING``, ``salt BIGINT`` (texts of different salt never meet).
+    ``texts``: ``uid BIGINT`` (unique), ``body STRING``, ``salt BIGINT`` (texts of different salt never meet), and
+    optionally ``side INT``: 1, 2 or 3 for both; a text of one side then only meets texts of the other.
     Gives ``a, b, shared_words, total_words`` with ``a < b``.  ``ratio``: sizes further apart than this (as word
     triples) can't reach the wanted likeness and are skipped.  Null and empty texts, and texts shorter than the
     first rule's ``least``, are in no pair; an empty input gives an empty result.
@@ -255,7 +261,8 @@ def overlapping_pairs(
     tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
     buckets = buckets or 6 * tasks  # a task works through several buckets, one at a time
     packed = "bucket int, body binary"
-    postings = texts.select("uid", "body", "salt").mapInArrow(_chunk_stage(rules, buckets), packed)
+    side = F.col("side").cast("long") if "side" in texts.columns else F.lit(3).cast("long")
+    postings = texts.select("uid", "body", "salt", side.alias("side")).mapInArrow(_chunk_stage(rules, buckets), packed)
     met = (
         postings.repartition(tasks, "bucket").sortWithinPartitions("bucket").mapInArrow(_meet_stage(ratio, buckets), packed)
     )

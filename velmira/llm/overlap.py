@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from velmira.functions.ids import paper_number, squeezed
-from velmira.llm.candidates import collapsed, overlapping_pairs, rules_for, verified
+from velmira.llm.candidates import overlapping_pairs, rules_for, verified
 from velmira.session import cut
 
 LIKENESS = 0.6
@@ -62,8 +62,6 @@ def _across(pairs: DataFrame, sides: DataFrame, key: str) -> DataFrame:
 def text_links(patients: DataFrame, manifest: DataFrame, likeness: float = LIKENESS, fraction: float = FRACTION) -> tuple[DataFrame, DataFrame]:
     """(links between different texts across the split, member rows ``text_key, record_id, is_train``)."""
     raw = _texts(patients)
-    texts = collapsed(raw)
-    pairs = cut(overlapping_pairs(texts, RULES, likeness, fraction, REGIONS).select("a", "b", "shared_words", "total_words"))
     fold = folds(manifest).select("record_id", "is_train").distinct()
     members = cut(
         raw.select("uid", F.xxhash64("salt", "body").alias("text_key"))
@@ -71,18 +69,15 @@ def text_links(patients: DataFrame, manifest: DataFrame, likeness: float = LIKEN
         .join(fold, "record_id")
         .select("text_key", "uid", "record_id", "is_train")
     )
-    # a pair is only worth checking if its two texts stand on different sides
-    uids = raw.select("uid", F.xxhash64("salt", "body").alias("text_key")).groupBy("text_key").agg(F.min("uid").alias("uid"))
-    sides = cut(
-        members.groupBy("text_key")
-        .agg(F.bool_or("is_train").alias("train"), F.bool_or(~F.col("is_train")).alias("other"))
-        .join(uids, "text_key")
-    )
-    a = sides.select(F.col("uid").alias("a"), F.col("text_key").alias("key_a"), F.col("train").alias("ta"), F.col("other").alias("oa"))
-    b = sides.select(F.col("uid").alias("b"), F.col("text_key").alias("key_b"), F.col("train").alias("tb"), F.col("other").alias("ob"))
-    split = cut(pairs.join(a, "a").join(b, "b").where("(ta and ob) or (oa and tb)").select("a", "b", "key_a", "key_b", "shared_words", "total_words"))
-    checked = verified(split, raw, likeness)
-    return split.join(checked, ["a", "b"]), members
+    # one row per different text, with the sides of the split that it stands on
+    side = F.max(F.when(F.col("is_train"), 1).otherwise(0)) + F.max(F.when(F.col("is_train"), 0).otherwise(2))
+    sides = cut(members.groupBy("text_key").agg(F.min("uid").alias("uid"), side.alias("side")))
+    texts = raw.join(sides.select("uid", "side"), "uid")
+    pairs = cut(overlapping_pairs(texts, RULES, likeness, fraction, REGIONS).select("a", "b", "shared_words", "total_words"))
+    a = sides.select(F.col("uid").alias("a"), F.col("text_key").alias("key_a"))
+    b = sides.select(F.col("uid").alias("b"), F.col("text_key").alias("key_b"))
+    checked = verified(pairs, raw, likeness)
+    return pairs.join(checked, ["a", "b"]).join(a, "a").join(b, "b"), members
 
 
 def found(patients: DataFrame, manifest: DataFrame) -> DataFrame:
