@@ -95,3 +95,15 @@ def test_stream_takes_each_file_once(spark, tmp_path):
     spark.range(5, 8).write.mode("append").parquet(source)
     incremental.ingest(spark, source, "id long", sink, state)
     assert spark.read.parquet(sink).count() == 8
+
+
+def test_tables(spark):
+    from velmira.operators import tables
+
+    df = spark.createDataFrame([(1, "Drug name here | Dose in milligrams\nsecond header line | x\n1 | 20\n2 | 30"), (2, "only one line"), (3, "A long heading cell | b\n" + "\n".join(f"{i} | x" for i in range(12)))], "k int, content string")
+    got = {(r.k, r.batch): len(r.rows) for r in tables.table_rows(df, ["k"], "content").collect()}
+    assert got == {(1, 0): 2, (3, 0): 10, (3, 1): 2}
+    facts = tables.row_facts(spark.createDataFrame([(1, {"a": "1", "b": "-", "c": None}, "1")], "k int, cells map<string,string>, label string"), ["k"], "cells", "label").collect()
+    assert [(r.fact, r.quote) for r in facts] == [("a: 1", "[Table 1] a: 1 ")]
+    panels = spark.createDataFrame([(["m1", "m2", "m3"], ["e1", "e2"]), ([], ["e1", "e2", "e3"])], "m array<string>, e array<string>").select(tables.chosen_panels(F.col("m"), F.col("e"), 2).alias("p"))
+    assert [r.p for r in panels.collect()] == [["m1", "e1"], ["e1", "e2"]]

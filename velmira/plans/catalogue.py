@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from velmira.functions import rules, text
-from velmira.operators import features, images, metrics, report, splits, units, unpack
+from velmira.operators import features, images, metrics, report, splits, tables, units, unpack
 from velmira.session import table
 from velmira.streaming import incremental
 
@@ -106,6 +106,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "q61_late_fusion": lambda s, d: table(s, d, "embeddings").withColumn("a", F.transform(F.slice("embedding", 1, 4), lambda x: x.cast("double"))).withColumn("b", F.when(F.col("vec_id") % 3 != 0, F.transform(F.slice("embedding", 5, 4), lambda x: x.cast("double")))).select("vec_id", features.argmax(features.fused([F.col("a"), F.col("b")])).alias("pred")),
         "q63_decision": lambda s, d: table(s, d, "embeddings").select("vec_id", images.decision(F.transform("embedding", lambda x: F.abs(x).cast("double")), 14).alias("decision")),
         "q64_tfidf": lambda s, d: features.tfidf(table(s, d, "papers").select("pmc_id", "abstract"), "pmc_id", "abstract").select("pmc_id", "term", F.round("weight", 6).alias("weight")),
+        "q40_grid_complete": lambda s, d: tables.completed(_results(s, d).groupBy("baseline", "tier").agg(F.round(F.avg("f1"), 6).alias("f1")), {"baseline": ["click", "purchase", "nobody"], "tier": ["gold", "silver", "bronze"]}, "f1"),
+        "q55_row_facts": lambda s, d: tables.row_facts(table(s, d, "part").select("p_partkey", F.create_map(F.lit("size"), F.col("p_size").cast("string"), F.lit("brand"), F.when(F.col("p_size") % 7 != 0, F.col("p_brand")).otherwise(F.lit("-"))).alias("cells"), F.lit("2").alias("label")), ["p_partkey"], "cells", "label"),
+        "q69_messages": lambda s, d: tables.messages(table(s, d, "lineitem").select("l_orderkey", "l_linenumber", "l_returnflag", "l_linestatus"), "l_orderkey", "l_linenumber", "l_returnflag", "l_linestatus").select("l_orderkey", F.array_join(F.transform("messages", lambda x: F.concat(x["role"], F.lit(":"), x["content"])), " ").alias("talk")),
+        "q73_table_rows": lambda s, d: tables.table_rows(table(s, d, "documents").where("text like '|%'"), ["doc_id"], "text").select("doc_id", "batch", F.size("rows").alias("n_rows"), "header"),
+        "q74_panel_selection": lambda s, d: patients(s, d).select("record_id", F.size(tables.chosen_panels(text.list_literal(F.coalesce("mri_image_paths", F.lit("[]"))), text.list_literal(F.coalesce("eeg_image_paths", F.lit("[]"))), 3)).alias("n_panels")),
         "q70_todo": lambda s, d: incremental.new_rows(table(s, d, "papers").select("pmc_id"), patients(s, d).select("pmc_id"), "pmc_id"),
         "q71_value_counts_top": lambda s, d: _panels(s, d).groupBy("modality").agg(F.count("*").alias("n")).orderBy(F.desc("n"), F.asc_nulls_first("modality")).limit(10),
         "q72_dataset_stats": lambda s, d: _panels(s, d).agg(F.count("*").alias("n"), F.count_distinct("pmc_id").alias("n_papers"), F.count_if(F.size("findings") > 0).alias("with_findings"), F.count_if(F.col("modality").isNotNull()).alias("with_modality")),
@@ -168,6 +173,9 @@ def oracle_sql() -> dict[str, str]:
         "q53_explode_references": "SELECT subfig_id, r.figure AS figure, r.sentence AS sentence FROM (SELECT subfig_id, unnest(intext_references) AS r FROM subcaptions)",
         "q57_valid_quotes": r"SELECT gt_id, CASE WHEN length(regexp_replace(evidence_quote, '^\s+|\s+$', '', 'g')) >= 15 THEN truth END AS kept, contains(redacted, '[redacted]') AS masked FROM task_evidence",
         "q59_mean_pool": "WITH x AS (SELECT label, i - 1 AS pos, CAST(embedding[i] AS DOUBLE) AS v FROM embeddings, range(1, 65) t(i)), m AS (SELECT label, pos, avg(v) AS v, count(*) AS n FROM x GROUP BY ALL) SELECT label, n, CAST(pos AS INT) AS pos, round(v / (sqrt(sum(v*v) OVER (PARTITION BY label)) + 1e-9), 5) AS v FROM m",
+        "q40_grid_complete": f"{results}, a AS (SELECT baseline, tier, round(avg(f1), 6) AS f1 FROM r GROUP BY ALL), g AS (SELECT * FROM (SELECT unnest(['click','purchase','nobody']) AS baseline), (SELECT unnest(['gold','silver','bronze']) AS tier)) SELECT g.baseline, g.tier, a.f1 FROM g LEFT JOIN a ON g.baseline=a.baseline AND g.tier=a.tier",
+        "q55_row_facts": "WITH f AS (SELECT p_partkey, 'size: ' || CAST(p_size AS VARCHAR) AS fact FROM part UNION ALL SELECT p_partkey, 'brand: ' || p_brand FROM part WHERE p_size % 7 != 0) SELECT p_partkey, fact, rpad('[Table 2] ' || fact, CAST(greatest(length('[Table 2] ' || fact), 15) AS INT), ' ') AS quote FROM f",
+        "q69_messages": "SELECT l_orderkey, string_agg(l_returnflag || ':' || l_linestatus, ' ' ORDER BY l_linenumber, l_returnflag, l_linestatus) AS talk FROM lineitem GROUP BY 1",
         "q70_todo": "SELECT pmc_id FROM papers WHERE pmc_id NOT IN (SELECT pmc_id FROM patients WHERE pmc_id IS NOT NULL)",
         "q71_value_counts_top": "SELECT modality, count(*) AS n FROM subcaptions GROUP BY 1 ORDER BY n DESC, modality NULLS FIRST LIMIT 10",
         "q72_dataset_stats": "SELECT count(*) AS n, count(DISTINCT pmc_id) AS n_papers, count(*) FILTER (WHERE len(findings) > 0) AS with_findings, count(modality) AS with_modality FROM subcaptions",
