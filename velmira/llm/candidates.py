@@ -103,7 +103,7 @@ def _pack(*columns: np.ndarray) -> bytes:
     """int64 columns as byte planes under zstd; the first is kept as differences, its rows should come sorted."""
     first = np.diff(columns[0].view(np.int64), prepend=0)
     planes = [np.ascontiguousarray(c).view(np.uint8).reshape(-1, 8).T for c in (first, *(c.view(np.int64) for c in columns[1:]))]
-    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(np.concatenate(planes)).tobytes())
+    return zstandard.ZstdCompressor(level=3).compress(np.ascontiguousarray(np.concatenate(planes)).tobytes())
 
 
 def _unpack(buf: bytes, width: int) -> list[np.ndarray]:
@@ -137,8 +137,8 @@ def _chunk_stage(rules, buckets):
             row, digest, length, mask = chunks(words, offsets, rules, X.mix(salt), size)
             if len(row) == 0:
                 continue
-            # the low bits only chose a bucket: 40 bits identify a chunk, the exact check follows
-            yield _batch(*_split(digest, buckets, [uid[row], (digest >> np.uint64(24)).view(np.int64), size[row], length | side[row] << 6 | mask << 8]))
+            # the low bits only chose a bucket: 32 more bits identify a chunk, the exact check follows
+            yield _batch(*_split(digest, buckets, [uid[row], (digest >> np.uint64(32)).view(np.int64), size[row], length | side[row] << 6 | mask << 8]))
 
     return run
 
