@@ -94,6 +94,43 @@ def test_neardup_against_brute_force(spark):
     assert got == {i: root(i) for i in range(len(texts)) if size[root(i)] > 1}
 
 
+def near_pairs(seed, n, sizes, low, high):
+    """Texts by twos, the second with single words replaced at random until the likeness is in [low, high)."""
+    r, texts = random.Random(seed), []
+    while len(texts) < 2 * n:
+        words = [f"{r.choice(WORDS)}{r.randint(1, 400)}" for _ in range(r.choice(sizes))]
+        other = list(words)
+        for i in r.sample(range(len(words)), len(words)):
+            other[i] = "x%d" % r.randint(1, 10**6)
+            like = likeness(shingles(" ".join(words))[0], shingles(" ".join(other))[0])
+            if like < high:
+                break
+        if low <= like < high:
+            texts += [" ".join(words), " ".join(other)]
+    return texts
+
+
+def linked_across(spark, texts):
+    """Pairs of neighbours (2i, 2i + 1) that p1_found gives with the first in train and the second in another fold."""
+    folds = spark.createDataFrame([(i, "val" if i % 2 else "train") for i in range(len(texts))], "record_id long, fold string")
+    rows = patients(spark, texts).withColumn("pmc_id", F.lit(None).cast("string"))
+    return {(r.id_a, r.id_b) for r in overlap.found(rows, folds).collect()}
+
+
+@pytest.mark.parametrize("low", [0.6, 0.65])
+def test_no_pair_near_the_threshold_is_lost(spark, low):
+    texts = near_pairs(21, 250, (50, 60, 80, 150), low, low + 0.05)
+    twos = {(i, i + 1) for i in range(0, len(texts), 2)}
+    assert linked_across(spark, texts) == twos
+    groups = {r.record_id: r.group_id for r in neardup.found(patients(spark, texts)).collect()}
+    assert groups == {i: i - i % 2 for i in range(len(texts))}
+
+
+def test_short_texts_near_the_threshold(spark):
+    texts = near_pairs(22, 200, (13, 16, 20, 30, 40), 0.6, 0.7)
+    assert linked_across(spark, texts) == {(i, i + 1) for i in range(0, len(texts), 2)}
+
+
 def test_empty_tables(spark):
     none = patients(spark, [])
     assert overlap.found(none, manifest(spark, 0).where("false")).count() == 0

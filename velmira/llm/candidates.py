@@ -1,16 +1,19 @@
-"""Candidate pairs of texts from shared content-defined chunks, without a row per posting.
+"""Candidate pairs of texts by an exact prefix filter over word triples, without a row per posting.
 
-Three narrow Python stages with two shuffles in between, all on packed arrays:
+A text is its set of distinct runs of three words.  The triples have one order everywhere, rare ones first.  Two
+texts of likeness ``t`` share a triple in the first ``size - ceil(t * size) + 1`` of both (their prefixes), so only
+prefixes are posted.  Nothing else decides who may meet: every filter below is a bound that no true pair breaks.
 
-1. ``chunk``: texts -> postings (chunk digest, text id, word count, own length), packed per bucket of digests.
-2. ``meet``: a bucket's postings, sorted by (digest, size), give pairs inside each digest's list.  For each entry
-   the compatible sizes form one stretch of the list, found by binary search, so blocks of other sizes are
-   skipped by position.  Shared lengths are added up per pair before anything leaves the task.
-3. ``total``: per pair, the shared lengths of all buckets; pairs with enough overlap stay.
+1. ``post``: texts -> sets, sizes, sketches and prefix postings (triple digest, place in the order), packed per bucket.
+2. ``meet``: a bucket's postings, sorted by (digest, size).  For each entry the sizes that the likeness and its own
+   place allow form one stretch of the list, found by binary search, so other sizes are skipped by position.  Then
+   the other's place is tested, and then the sketches.
+3. the pairs of all buckets, each once.
 
-The overlap of a pair is measured in two ways: *own* words (chunk lengths without the closing window, which never
-overlap) and *covered* sixteenths of each text (the stretches that shared chunks take up).  A phrase that unlike
-texts have in common covers one short stretch only.
+*Place*: if the first triple that two texts share stands at places i and j (from 0), they share at most
+``min(size_a - i, size_b - j)``, and likeness ``t`` needs ``t / (1 + t)`` of both sizes together.
+*Sketch*: bit h is the parity of the number of triples that hash to h.  Two sketches differ in at most as many bits as
+the sets differ in triples, and likeness ``t`` allows ``(1 - t) / (1 + t)`` of both sizes together.
 
 No text meets itself; copies must be collapsed before (ids are unique per text).
 """
@@ -18,7 +21,6 @@ No text meets itself; copies must be collapsed before (ids are unique per text).
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -29,73 +31,50 @@ from pyspark.sql import functions as F
 from velmira.llm import textops as X
 
 _BLOCK = 500_000
-_REGIONS = 16
-_BITS = np.array([bin(i).count("1") for i in range(1 << _REGIONS)], dtype=np.int64)
+_SLACK = 1e-9
+_CELLS = 1 << 20
+#: Texts that the order is learned from: one in so many, and at most so many.  Any order is right, a good one is fast.
+_SAMPLE, _SAMPLE_MOST = 16, 20_000
+_PACKED = "bucket int, texts binary, sketches binary, postings binary"
 
 
-@dataclass(frozen=True)
-class ChunkRule:
-    """Cut rule for texts of ``least`` up to ``most`` words: rolling window and minima window in words."""
+# ---- order of the triples --------------------------------------------------------------------------------------
+def _cell(grams: np.ndarray) -> np.ndarray:
+    return (grams >> np.uint64(40) & np.uint64(_CELLS - 1)).astype(np.int64)
 
-    least: int
-    most: int
-    window: int
-    reach: int
 
-
-def rules_for(ratio: float, steps: tuple[tuple[int, int, int], ...]) -> tuple[ChunkRule, ...]:
-    """Overlapping length classes, so that two texts whose sizes differ by ``ratio`` share a class."""
-    rules = []
-    for i, (least, window, reach) in enumerate(steps):
-        most = int((steps[i + 1][0] - 2) / ratio) + 3 if i + 1 < len(steps) else 1 << 40
-        rules.append(ChunkRule(least, most, window, reach))
-    return tuple(rules)
-
-
-def set_sizes(words: np.ndarray, offsets: np.ndarray, k: int = 3) -> np.ndarray:
-    """Distinct runs of k words of each text, plus k - 1: the word count of a text that says nothing twice."""
-    g, go = X.grams(words, offsets, k)
-    out = np.zeros(len(offsets) - 1, np.int64)
-    for at in range(0, len(out), 1 << 14):
-        end = min(at + (1 << 14), len(out))
-        key = (g[go[at] : go[end]] & np.uint64(0xFFFFFFFFFFFF0000)) | X.row_index(go[at : end + 1]).astype(np.uint64)
-        out[at:end] = np.bincount((np.unique(key) & np.uint64(0xFFFF)).astype(np.int64), minlength=end - at)
-    return out + (k - 1)
-
-
-def chunks(words: np.ndarray, offsets: np.ndarray, rules: tuple[ChunkRule, ...], salt: np.ndarray, sizes: np.ndarray):
-    """(row, digest, own length, covered regions as bits) of every content-defined chunk.
-
-    A text is cut where the rolling hash of the next ``window`` words is the least of ``reach`` neighbours.
-    A chunk runs from one cut to the end of the rolling window at the next cut; its own length is the number
-    of words between the two cuts, so own lengths of a text never overlap.
-    """
-    size = np.diff(offsets)
-    rows, digests, lengths, masks = [], [], [], []
-    for tag, rule in enumerate(rules):
-        # the first rule's bound is one of words; the classes go by set size, which likeness compares
-        wanted = (size >= rules[0].least) & (sizes < rule.most) & ((sizes >= rule.least) if tag else True)
-        if not wanted.any():
-            continue
-        g, go = X.grams(words, offsets, rule.window)
-        if len(g) == 0:
-            continue
-        at = X.minima(g, go, rule.reach)
-        row = X.row_index(go)[at]
-        pair = (row[1:] == row[:-1]) & wanted[row[1:]]
-        first, last = at[:-1][pair], at[1:][pair]
-        gap = last - first
-        r = row[1:][pair]
-        begin = first - go[r]
-        low = begin * _REGIONS // size[r]
-        high = np.minimum((begin + gap + rule.window - 1) * _REGIONS // size[r], _REGIONS - 1)
-        masks.append((1 << (high + 1)) - (1 << low))
-        rows.append(r)
-        lengths.append(gap)
-        digests.append(X.mix(g[first] * np.uint64(3) + g[last] + gap.astype(np.uint64) * np.uint64(0x51ED27) + salt[r] + np.uint64(tag)))
-    if not rows:
-        return np.empty(0, np.int64), np.empty(0, np.uint64), np.empty(0, np.int64), np.empty(0, np.int64)
-    return np.concatenate(rows), np.concatenate(digests), np.concatenate(lengths), np.concatenate(masks)
+def _count_stage(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    count = np.zeros(_CELLS, np.int64)
+    for batch in batches:
+        g, go = X.grams(*X.word_hashes(batch.column(0).to_pylist()), 3)
+        v, _ = X.distinct_sorted(g, go)
+        count += np.bincount(_cell(v), minlength=_CELLS)
+    level = np.clip(np.round(8 * np.log2(1 + count)), 0, 255).astype(np.uint8)
+    yield pa.RecordBatch.from_arrays([pa.array([zstandard.compress(level.tobytes())], pa.binary())], ["levels"])
+
+
+def triple_levels(rows: DataFrame) -> bytes:
+    """How frequent the triples of each of a fixed number of cells are in a sample of ``uid, body`` (packed, small)."""
+    sample = rows.where(F.pmod(F.xxhash64("uid"), F.lit(_SAMPLE)) == 0).select("body").limit(_SAMPLE_MOST)
+    found = sample.coalesce(1).mapInArrow(_count_stage, "levels binary").collect()
+    return bytes(found[0].levels) if found else zstandard.compress(bytes(_CELLS))
+
+
+def ordered_sets(words: np.ndarray, offsets: np.ndarray, levels: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(flat keys, offsets): each text's distinct triples, rare ones first.  A key is a triple's level and its hash."""
+    g, go = X.grams(words, offsets, 3)
+    return X.distinct_sorted(levels[_cell(g)].astype(np.uint64) << np.uint64(56) | g >> np.uint64(8), go)
+
+
+def sketches(keys: np.ndarray, offsets: np.ndarray, bits: int) -> np.ndarray:
+    """One row of ``bits`` / 8 bytes per text: the parities of its keys."""
+    out, step = np.zeros((len(offsets) - 1, bits // 8), np.uint8), 1 << 12
+    for at in range(0, len(out), step):
+        end = min(at + step, len(out))
+        bit = (keys[offsets[at] : offsets[end]] & np.uint64(bits - 1)).astype(np.int64)
+        count = np.bincount(X.row_index(offsets[at : end + 1]) * bits + bit, minlength=(end - at) * bits)
+        out[at:end] = np.packbits((count & 1).astype(np.uint8).reshape(-1, bits), axis=1)
+    return out
 
 
 # ---- packing -------------------------------------------------------------------------------------------------
@@ -113,41 +92,46 @@ def _unpack(buf: bytes, width: int) -> list[np.ndarray]:
     return columns
 
 
-def _batch(bucket: list[int], body: list[bytes]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(bucket, pa.int32()), pa.array(body, pa.binary())], ["bucket", "body"])
-
-
-def _split(key: np.ndarray, buckets: int, columns: list[np.ndarray]) -> tuple[list[int], list[bytes]]:
-    which = (key % np.uint64(buckets)).astype(np.int64)
-    order = np.argsort(which, kind="stable")
-    ends = np.searchsorted(which[order], np.arange(buckets + 1))
-    columns = [c[order] for c in columns]
-    at = [b for b in range(buckets) if ends[b] < ends[b + 1]]
-    return at, [_pack(*(c[ends[b] : ends[b + 1]] for c in columns)) for b in at]
-
-
-def _chunk_stage(rules, buckets):
+def _post_stage(ratio, least, bits, buckets, levels):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        level = np.frombuffer(zstandard.decompress(levels.value), np.uint8)
         for batch in batches:
             uid = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
             salt = batch.column(2).to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)
             side = batch.column(3).to_numpy(zero_copy_only=False).astype(np.int64)
             words, offsets = X.word_hashes(batch.column(1).to_pylist())
-            size = set_sizes(words, offsets)
-            row, digest, length, mask = chunks(words, offsets, rules, X.mix(salt), size)
-            if len(row) == 0:
+            keys, at = ordered_sets(words, offsets, level)
+            if len(keys) == 0:
                 continue
-            # the low bits only chose a bucket: 32 more bits identify a chunk, the exact check follows
-            yield _batch(*_split(digest, buckets, [uid[row], (digest >> np.uint64(32)).view(np.int64), size[row], length | side[row] << 6 | mask << 8]))
+            size, row = np.diff(at), X.row_index(at)
+            place = np.arange(len(keys)) - at[row]
+            prefix = size - np.ceil(ratio * size - _SLACK).astype(np.int64) + 1
+            posted = (place < prefix[row]) & (np.diff(offsets) >= least)[row]
+            row, place = row[posted], place[posted]
+            digest = X.mix(keys[posted] ^ X.mix(salt)[row])
+            sketch = sketches(keys, at, bits)
+            which = (digest % np.uint64(buckets)).astype(np.int64)
+            # the low bits only chose a bucket: 32 more bits identify a triple, the exact check follows
+            digest = (digest >> np.uint64(32)).view(np.int64)
+            for b in np.unique(which):
+                here = which == b
+                texts, local = np.unique(row[here], return_inverse=True)
+                order = np.argsort(uid[texts], kind="stable")
+                moved = np.empty(len(order), np.int64)
+                moved[order] = np.arange(len(order))
+                local, texts = moved[local], texts[order]
+                sort = np.argsort(local, kind="stable")
+                body = _pack(uid[texts], size[texts], side[texts]), sketch[texts].tobytes(), _pack(local[sort], digest[here][sort], place[here][sort])
+                yield pa.RecordBatch.from_arrays([pa.array([b], pa.int32()), *(pa.array([x], pa.binary()) for x in body)], ["bucket", "texts", "sketches", "postings"])
 
     return run
 
 
-def _bucket_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[list[bytes]]:
+def _bucket_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple[bytes, bytes, bytes]]]:
     """Bodies of each bucket; a partition's rows come sorted by bucket."""
     current, held = None, []
     for batch in batches:
-        for bucket, body in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+        for bucket, *body in zip(*(c.to_pylist() for c in batch.columns)):
             if bucket != current and held:
                 yield held
                 held = []
@@ -157,120 +141,87 @@ def _bucket_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[list[bytes]]:
         yield held
 
 
-def _joined(own, mask_a, mask_b, start) -> np.ndarray:
-    """Per pair: own words added up (low 32 bits), regions of either text united (16 bits each above)."""
-    a, b = np.bitwise_or.reduceat(mask_a, start), np.bitwise_or.reduceat(mask_b, start)
-    return np.add.reduceat(own, start) | a << 32 | b << 48
-
-
-def _regions(packed: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    return packed >> 32 & 0xFFFF, packed >> 48 & 0xFFFF
-
-
-def _meet_lists(digest, uid, size, length, ratio):
-    """Summed shared lengths of the pairs of each digest's list, in blocks: yields (a, b, both sizes, shared)."""
-    order = np.lexsort((uid, size, digest))
-    digest, uid, size, length = digest[order], uid[order], size[order], length[order]
-    keep = np.ones(len(digest), bool)
-    keep[1:] = (digest[1:] != digest[:-1]) | (uid[1:] != uid[:-1])
-    digest, uid, size, length = digest[keep], uid[keep], size[keep], length[keep]
-    opens = np.r_[True, digest[1:] != digest[:-1]]
-    lists = np.cumsum(opens) - 1
-    alone = np.bincount(lists)[lists] == 1
-    uid, size, length, lists = uid[~alone], size[~alone], length[~alone], lists[~alone]
-    if len(uid) == 0:
-        return
-    low = np.ceil((size - 2) * ratio - 1e-9).astype(np.int64) + 2
+def _meet_lists(digest, text, place, size, side, sketch, ratio):
+    """Pairs of texts that share a posted triple and break no bound, in blocks: yields (text, text), some twice."""
+    order = np.lexsort((size[text], digest))
+    digest, text, place = digest[order], text[order], place[order]
+    part, allowed = ratio / (1 + ratio), (1 - ratio) / (1 + ratio)
     top = int(size.max()) + 2
-    place = lists * top + size
-    first = np.searchsorted(place, lists * top + np.maximum(low, 0), side="left")
-    partners = np.arange(len(uid)) - first
-    names, dense = np.unique(uid, return_inverse=True)
-    of = np.zeros(len(names), np.int64)
-    of[dense] = size
-    begin = 0
-    cum = np.cumsum(partners)
-    while begin < len(uid):
+    # the smaller of two texts needs a place that would do for two texts of its size
+    early = size[text] - place >= 2 * part * size[text] - _SLACK
+    one_side = bool((side == 3).all())
+    on = [np.ones(len(text), bool)] if one_side else [(side[text] & 1) > 0, (side[text] & 2) > 0]
+    for larger, smaller in zip(on, reversed(on)):
+        ours, theirs = np.flatnonzero(larger), np.flatnonzero(smaller & early)
+        n, room = size[text[ours]], size[text[ours]] - place[ours]
+        low = np.ceil(n * ratio - _SLACK).astype(np.int64)
+        high = np.minimum(n, np.floor(room / part - n + _SLACK).astype(np.int64))
+        listed = digest[theirs] * top + size[text[theirs]]
+        first = np.searchsorted(listed, digest[ours] * top + low, side="left")
+        last = np.searchsorted(listed, digest[ours] * top + np.maximum(high, 0), side="right")
+        if one_side:
+            last = np.minimum(last, np.searchsorted(theirs, ours))
+        yield from _stretches(ours, theirs, first, np.maximum(last - first, 0), text, place, size, sketch, part, allowed)
+
+
+def _stretches(ours, theirs, first, partners, text, place, size, sketch, part, allowed):
+    """The pairs of each of ``ours`` with its stretch of ``theirs`` that pass both bounds."""
+    ours_size = size[text[ours]]
+    # the largest partner that each of theirs may meet at its place
+    most = np.floor((size[text[theirs]] - place[theirs]) / part - size[text[theirs]] + _SLACK).astype(np.int64)
+    half = np.ascontiguousarray(sketch[:, : max(sketch.shape[1] // 2, 1)])
+    cum, begin = np.cumsum(partners), 0
+    while begin < len(ours):
         base = cum[begin - 1] if begin else 0
         end = max(int(np.searchsorted(cum, base + _BLOCK, side="right")), begin + 1)
         rep = partners[begin:end]
-        right = np.repeat(np.arange(begin, end), rep)
-        left = np.arange(len(right)) - np.repeat(np.cumsum(rep) - rep, rep) + np.repeat(first[begin:end], rep)
-        # own length in the low six bits, then the two sides, then the regions
-        sides, others = length[left] >> 6 & 3, length[right] >> 6 & 3
-        across = ((sides & 1) & (others >> 1)) | ((sides >> 1) & (others & 1)) == 1
-        left, right = left[across], right[across]
-        swap = dense[left] > dense[right]
-        left, right = np.where(swap, right, left), np.where(swap, left, right)
-        pair = dense[left] * len(names) + dense[right]
-        order = np.argsort(pair, kind="stable")
-        pair, left, right = pair[order], left[order], right[order]
-        start = np.flatnonzero(np.r_[True, pair[1:] != pair[:-1]])
-        if len(start):
-            a, b = pair[start] // len(names), pair[start] % len(names)
-            yield names[a], names[b], of[a] + of[b], _joined(length[left] & 0x3F, length[left] >> 8, length[right] >> 8, start)
+        left = np.repeat(first[begin:end] - (np.cumsum(rep) - rep), rep) + np.arange(rep.sum())
+        near = np.flatnonzero(most[left] >= np.repeat(ours_size[begin:end], rep))
+        a, b = text[theirs[left[near]]], text[np.repeat(ours[begin:end], rep)[near]]
+        bound = allowed * (size[a] + size[b]) + _SLACK
+        for part_of in (half, sketch):
+            near = (np.bitwise_count(part_of[a] ^ part_of[b]).sum(axis=1, dtype=np.int64) <= bound) & (a != b)
+            a, b, bound = a[near], b[near], bound[near]
+        if len(a):
+            yield a, b
         begin = end
 
 
-def _meet_stage(ratio, buckets):
-    def run(batches):
-        for held in _bucket_groups(batches):
-            parts = [_unpack(body, 4) for body in held]
-            uid, digest, size, length = (np.concatenate([p[i] for p in parts]) for i in range(4))
-            for a, b, sizes, shared in _meet_lists(digest, uid, size, length, ratio):
-                key = X.mix(a.view(np.uint64) * np.uint64(3) + X.mix(b.view(np.uint64)))
-                yield _batch(*_split(key, buckets, [a, b, sizes, shared]))
-
-    return run
-
-
-def _total_stage(fraction, regions):
+def _meet_stage(ratio, bits):
     def run(batches):
         for held in _bucket_groups(batches):
-            parts = [_unpack(body, 4) for body in held]
-            a, b, sizes, shared = (np.concatenate([p[i] for p in parts]) for i in range(4))
-            order = np.lexsort((b, a))
-            a, b, sizes, shared = a[order], b[order], sizes[order], shared[order]
-            start = np.flatnonzero(np.r_[True, (a[1:] != a[:-1]) | (b[1:] != b[:-1])])
-            joined = _joined(shared & 0xFFFFFFFF, *_regions(shared), start)
-            total = joined & 0xFFFFFFFF
-            covered = np.minimum(*(_BITS[m] for m in _regions(joined)))
-            keep = (total >= fraction * sizes[start] / 2) & (covered >= regions)
-            at = start[keep]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(a[at]), pa.array(b[at]), pa.array(total[keep]), pa.array(sizes[at])],
-                ["a", "b", "shared_words", "total_words"],
-            )
+            texts = [_unpack(t, 3) for t, _, _ in held]
+            postings = [_unpack(p, 3) for _, _, p in held]
+            starts = np.cumsum([0, *(len(t[0]) for t in texts)])
+            uid, size, side = (np.concatenate([t[i] for t in texts]) for i in range(3))
+            sketch = np.concatenate([np.frombuffer(s, np.uint64).reshape(-1, bits // 64) for _, s, _ in held])
+            text = np.concatenate([p[0] + start for p, start in zip(postings, starts)])
+            digest, place = (np.concatenate([p[i] for p in postings]) for i in (1, 2))
+            for a, b in _meet_lists(digest, text, place, size, side, sketch, ratio):
+                pair = np.unique(np.minimum(a, b) * len(uid) + np.maximum(a, b))
+                a, b = uid[pair // len(uid)], uid[pair % len(uid)]
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
 
     return run
 
 
-def overlapping_pairs(
-    texts: DataFrame, rules: tuple[ChunkRule, ...], ratio: float, fraction: float, regions: int, buckets: int | None = None
-) -> DataFrame:
-    """Pairs of different texts whose shared chunks make up at least ``fraction`` of their mean size
-    in own words and cover ``regions`` sixteenths of both.
+def overlapping_pairs(texts: DataFrame, ratio: float, least: int, levels: bytes, bits: int = 512, buckets: int | None = None) -> DataFrame:
+    """Every pair of different texts whose likeness may be ``ratio`` or more, and few others: ``a, b`` with ``a < b``.
 
     ``texts``: ``uid BIGINT`` (unique), ``body STRING``, ``salt BIGINT`` (texts of different salt never meet), and
     optionally ``side INT``: 1, 2 or 3 for both; a text of one side then only meets texts of the other.
-    Gives ``a, b, shared_words, total_words`` with ``a < b``.  ``ratio``: sizes further apart than this (as word
-    triples) can't reach the wanted likeness and are skipped.  Null and empty texts, and texts shorter than the
-    first rule's ``least``, are in no pair; an empty input gives an empty result.
+    ``levels``: from ``triple_levels``.  ``bits``: width of a sketch, a power of two from 64 up; wider ones keep more
+    unlike pairs out.  Null and empty texts, and texts shorter than ``least`` words, are in no pair; an empty input
+    gives an empty result.
     """
     spark = texts.sparkSession
     tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    buckets = buckets or 6 * tasks  # a task works through several buckets, one at a time
-    packed = "bucket int, body binary"
+    buckets = buckets or tasks  # a text's sketch goes to each bucket that one of its postings is in
     side = F.col("side").cast("long") if "side" in texts.columns else F.lit(3).cast("long")
-    postings = texts.select("uid", "body", "salt", side.alias("side")).mapInArrow(_chunk_stage(rules, buckets), packed)
-    met = (
-        postings.repartition(tasks, "bucket").sortWithinPartitions("bucket").mapInArrow(_meet_stage(ratio, buckets), packed)
-    )
-    return (
-        met.repartition(tasks, "bucket")
-        .sortWithinPartitions("bucket")
-        .mapInArrow(_total_stage(fraction, regions), "a bigint, b bigint, shared_words bigint, total_words bigint")
-    )
+    shared = spark.sparkContext.broadcast(levels)
+    postings = texts.select("uid", "body", "salt", side.alias("side")).mapInArrow(_post_stage(ratio, least, bits, buckets, shared), _PACKED)
+    met = postings.repartitionById(tasks, F.col("bucket") % tasks).sortWithinPartitions("bucket").mapInArrow(_meet_stage(ratio, bits), "a bigint, b bigint")
+    return met.distinct()
 
 
 # ---- exact check ---------------------------------------------------------------------------------------------

@@ -1,12 +1,9 @@
 """Problem 1: the same or nearly the same record on both sides of a split.
 
-Method: content-defined chunks.  Texts are cut by a rolling hash, chunk digests are joined across the collection,
-and shared chunk lengths are summed into overlap fractions; pairs with enough overlap are checked exactly.
+Method: set-similarity join of the texts' word triples across the split.  The prefix filter of candidates.py gives every
+pair that may be alike, and these are checked exactly; no pair is left out.
 
-Parameters: likeness 0.6 over runs of three words, texts of at least 12 words.  A pair is looked at if shared chunks
-cover ``REGIONS`` sixteenths of both texts and their own words make up ``FRACTION`` of the mean size.  A pair of that
-likeness has long unbroken stretches in common; against brute force over all pairs of the 0.1 tables the rule loses
-none of 4,083 (least coverage 6 sixteenths, least fraction 0.067).
+Parameters: likeness 0.6 over runs of three words, texts of at least 12 words.
 
 Edge cases: a null text, or one below 12 words, meets nothing; copies of one text are collapsed before the search
 and expanded in the result; repeated manifest rows count once; a record listed in train and elsewhere stands on
@@ -19,13 +16,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from velmira.functions.ids import paper_number, squeezed
-from velmira.llm.candidates import overlapping_pairs, rules_for, verified
+from velmira.llm.candidates import overlapping_pairs, triple_levels, verified
 from velmira.session import cut
 
 LIKENESS = 0.6
-FRACTION = 0.04
-REGIONS = 5
-RULES = rules_for(LIKENESS, ((12, 4, 1), (20, 8, 2), (40, 13, 2)))
+LEAST_WORDS = 12
+SKETCH_BITS = 256
 FIELDS = ("semiology_text", "mri_report_text")
 
 
@@ -59,7 +55,7 @@ def _across(pairs: DataFrame, sides: DataFrame, key: str) -> DataFrame:
     ).select("t", "e")
 
 
-def text_links(patients: DataFrame, manifest: DataFrame, likeness: float = LIKENESS, fraction: float = FRACTION) -> tuple[DataFrame, DataFrame]:
+def text_links(patients: DataFrame, manifest: DataFrame, likeness: float = LIKENESS) -> tuple[DataFrame, DataFrame]:
     """(links between different texts across the split, member rows ``text_key, record_id, is_train``)."""
     raw = _texts(patients)
     fold = folds(manifest).select("record_id", "is_train").distinct()
@@ -73,11 +69,11 @@ def text_links(patients: DataFrame, manifest: DataFrame, likeness: float = LIKEN
     side = F.max(F.when(F.col("is_train"), 1).otherwise(0)) + F.max(F.when(F.col("is_train"), 0).otherwise(2))
     sides = cut(members.groupBy("text_key").agg(F.min("uid").alias("uid"), side.alias("side")))
     texts = raw.join(sides.select("uid", "side"), "uid")
-    pairs = cut(overlapping_pairs(texts, RULES, likeness, fraction, REGIONS).select("a", "b", "shared_words", "total_words"))
+    pairs = cut(overlapping_pairs(texts, likeness, LEAST_WORDS, triple_levels(raw), SKETCH_BITS))
     a = sides.select(F.col("uid").alias("a"), F.col("text_key").alias("key_a"))
     b = sides.select(F.col("uid").alias("b"), F.col("text_key").alias("key_b"))
     checked = verified(pairs, raw, likeness)
-    return pairs.join(checked, ["a", "b"]).join(a, "a").join(b, "b"), members
+    return checked.join(a, "a").join(b, "b"), members
 
 
 def found(patients: DataFrame, manifest: DataFrame) -> DataFrame:
@@ -87,7 +83,7 @@ def found(patients: DataFrame, manifest: DataFrame) -> DataFrame:
     both_ways = links.select(F.col("key_a").alias("x"), F.col("key_b").alias("y")).union(links.select(F.col("key_b").alias("x"), F.col("key_a").alias("y")))
     copies = members.groupBy("text_key").agg(F.bool_or("is_train").alias("t"), F.bool_or(~F.col("is_train")).alias("o"), F.min("uid").alias("uid")).where("t and o")
     body = _texts(patients).select("uid", "body")
-    long_enough = copies.join(body, "uid").where(F.size(F.regexp_extract_all(F.lower("body"), F.lit("[a-z0-9]+"), F.lit(0))) >= RULES[0].least)
+    long_enough = copies.join(body, "uid").where(F.size(F.regexp_extract_all(F.lower("body"), F.lit("[a-z0-9]+"), F.lit(0))) >= LEAST_WORDS)
     same_text = long_enough.select(F.col("text_key").alias("x"), F.col("text_key").alias("y"))
     like = _across(both_ways.union(same_text), members, "text_key")
     fold = folds(manifest).select("record_id", "is_train").distinct()
