@@ -131,6 +131,24 @@ def test_short_texts_near_the_threshold(spark):
     assert linked_across(spark, texts) == {(i, i + 1) for i in range(0, len(texts), 2)}
 
 
+def repeating(r):
+    """Texts by twos that say a passage over and over, each two alike (0.96 and more) at different numbers of copies."""
+    texts = []
+    for words, few, many in ((60, 1, 4), (20, 20, 25), (40, 20, 25), (40, 3, 8), (25, 2, 40)):
+        passage = " ".join(f"{r.choice(WORDS)}{r.randint(1, 400)}" for _ in range(words))
+        texts += [" ".join([passage] * few), " ".join([passage] * many)]
+    return texts + ["drop " * 60, "drop " * 3000]
+
+
+def test_texts_that_repeat_themselves(spark):
+    texts = repeating(random.Random(31))
+    assert all(likeness(shingles(a)[0], shingles(b)[0]) > 0.9 for a, b in zip(texts[::2], texts[1::2]))
+    assert linked_across(spark, texts) == {(i, i + 1) for i in range(0, len(texts), 2)}
+    # p4 compares texts of 50 words and more, and all of these are that long
+    groups = {r.record_id: r.group_id for r in neardup.found(patients(spark, texts)).collect()}
+    assert groups == {i: i - i % 2 for i in range(len(texts))}
+
+
 def test_empty_tables(spark):
     none = patients(spark, [])
     assert overlap.found(none, manifest(spark, 0).where("false")).count() == 0
