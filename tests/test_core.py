@@ -1,4 +1,6 @@
 import math
+import re
+from collections import Counter
 
 from pyspark.sql import functions as F
 
@@ -107,3 +109,21 @@ def test_tables(spark):
     assert [(r.fact, r.quote) for r in facts] == [("a: 1", "[Table 1] a: 1 ")]
     panels = spark.createDataFrame([(["m1", "m2", "m3"], ["e1", "e2"]), ([], ["e1", "e2", "e3"])], "m array<string>, e array<string>").select(tables.chosen_panels(F.col("m"), F.col("e"), 2).alias("p"))
     assert [r.p for r in panels.collect()] == [["m1", "e1"], ["e1", "e2"]]
+
+
+def test_tfidf_fits_on_train_and_transforms_test(spark):
+    train = ["Left insula seizure, left insula", "left temporal seizure onset", "Größe der Läsion", "Größe der Insel", None, ""]
+    test = ["left insula onset a b", "die Größe der Insula", "unseen", None]
+    words = lambda t: (lambda w: w + [f"{a} {b}" for a, b in zip(w, w[1:])])(re.findall(r"\b\w\w+\b", (t or "").lower()))
+    for most in (4, 20_000):
+        cf, df = Counter(x for t in train for x in words(t)), Counter(x for t in train for x in set(words(t)))
+        vocabulary = sorted((x for x in df if df[x] >= 2), key=lambda x: (-cf[x], x))[:most]
+        idf = {x: math.log((1 + len(train)) / (1 + df[x])) + 1 for x in vocabulary}
+        want = {}
+        for k, t in enumerate(test):
+            w = {x: n * idf[x] for x, n in Counter(words(t)).items() if x in idf}
+            want |= {(k, x): v / math.sqrt(sum(u * u for u in w.values())) for x, v in w.items()}
+        frame = lambda rows: spark.createDataFrame(list(enumerate(rows)), "k int, text string")
+        got = features.tfidf_transform(frame(test), features.tfidf_fit(frame(train), "text", most), "k", "text").collect()
+        assert {(r.k, r.term): round(r.weight, 9) for r in got} == {k: round(v, 9) for k, v in want.items()}
+        assert most == 4 or any(" " in x for x in vocabulary)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -46,3 +46,34 @@ def tfidf(documents: DataFrame, key: str, text: str, least_df: int = 2) -> DataF
     raw = tf.join(df, "term").join(F.broadcast(n)).withColumn("w", F.col("tf") * (F.log((1.0 + F.col("n_docs")) / (1.0 + F.col("df"))) + 1.0))
     norm = raw.groupBy(key).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
     return raw.join(norm, key).select(key, "term", (F.col("w") / F.col("norm")).alias("weight"))
+
+
+def _grams(text: str) -> Column:
+    """Words of two letters or more, and every two neighbours of them joined by a blank."""
+    words = F.regexp_extract_all(F.lower(text), F.lit(r"(?U)\b\w\w+\b"), F.lit(0))
+    pairs = lambda w: F.zip_with(F.slice(w, 1, F.greatest(F.size(w) - 1, F.lit(0))), F.slice(w, 2, F.greatest(F.size(w) - 1, F.lit(0))), lambda a, b: F.concat(a, F.lit(" "), b))
+    return F.flatten(F.transform(F.array(words), lambda w: F.concat(w, pairs(w))))
+
+
+def tfidf_fit(train: DataFrame, text: str, max_features: int = 20_000, least_df: int = 2) -> DataFrame:
+    """``term, idf`` of the ``max_features`` most frequent words and word pairs that ``least_df`` documents have; of equally
+    frequent ones the first by name.  Null and empty documents count as documents."""
+    held = train.where(F.length(text) > 0).select(_grams(text).alias("g"))
+    marked = F.concat(
+        F.transform("g", lambda t: F.struct(t.alias("term"), F.lit(1).alias("cf"), F.lit(0).alias("df"))),
+        F.transform(F.array_distinct("g"), lambda t: F.struct(t.alias("term"), F.lit(0).alias("cf"), F.lit(1).alias("df"))),
+    )
+    terms = held.select(F.inline(marked)).groupBy("term").agg(F.sum("cf").alias("cf"), F.sum("df").alias("df")).where(F.col("df") >= least_df)
+    best = terms.orderBy(F.desc("cf"), "term").limit(max_features)
+    n = train.select(F.count("*").alias("n_docs"))
+    return best.join(F.broadcast(n)).select("term", (F.log((1.0 + F.col("n_docs")) / (1.0 + F.col("df"))) + 1.0).alias("idf"))
+
+
+def tfidf_transform(documents: DataFrame, vocabulary: DataFrame, key: str, text: str) -> DataFrame:
+    """``key, term, weight`` of the terms of ``vocabulary`` (``tfidf_fit``): tf * idf, rows L2-normalised; ``key`` is unique.
+    The vocabulary is bounded, so it is broadcast; a document is moved once, as text."""
+    terms = documents.where(F.length(text) > 0).select(key, text).repartition(key).select(key, F.explode(_grams(text)).alias("term"))
+    tf = terms.join(F.broadcast(vocabulary), "term").groupBy(key, "term", "idf").agg(F.count("*").alias("tf"))
+    raw = tf.select(key, "term", (F.col("tf") * F.col("idf")).alias("w"))
+    norm = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy(key)))
+    return raw.select(key, "term", (F.col("w") / norm).alias("weight"))

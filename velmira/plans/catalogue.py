@@ -37,6 +37,12 @@ def _preds(s, d) -> DataFrame:
     return e.select("gt_id", "task", F.col("truth").alias("y"), _read_rule("task", "evidence_quote").alias("p"))
 
 
+def _tfidf_split(documents: DataFrame) -> DataFrame:
+    """TF-IDF fitted on four fifths of the documents, weights of the others."""
+    test = F.pmod(F.col("doc_id"), F.lit(5)) == 0
+    return features.tfidf_transform(documents.where(test), features.tfidf_fit(documents.where(~test), "text"), "doc_id", "text")
+
+
 def _results(s, d) -> DataFrame:
     e = table(s, d, "events")
     return e.select(F.col("event_type").alias("baseline"), F.concat(F.lit("t"), (F.col("user_id") % 6).cast("string")).alias("task"), F.element_at(F.array(F.lit("gold"), F.lit("silver"), F.lit("bronze")), (F.col("event_id") % 3 + 1).cast("int")).alias("tier"), F.col("value").alias("f1"), "event_id")
@@ -106,6 +112,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "q61_late_fusion": lambda s, d: table(s, d, "embeddings").withColumn("a", F.transform(F.slice("embedding", 1, 4), lambda x: x.cast("double"))).withColumn("b", F.when(F.col("vec_id") % 3 != 0, F.transform(F.slice("embedding", 5, 4), lambda x: x.cast("double")))).select("vec_id", features.argmax(features.fused([F.col("a"), F.col("b")])).alias("pred")),
         "q63_decision": lambda s, d: table(s, d, "embeddings").select("vec_id", images.decision(F.transform("embedding", lambda x: F.abs(x).cast("double")), 14).alias("decision")),
         "q64_tfidf": lambda s, d: features.tfidf(table(s, d, "papers").select("pmc_id", "abstract"), "pmc_id", "abstract").select("pmc_id", "term", F.round("weight", 6).alias("weight")),
+        "q64_tfidf_bigrams": lambda s, d: _tfidf_split(table(s, d, "documents")),
         "q40_grid_complete": lambda s, d: tables.completed(_results(s, d).groupBy("baseline", "tier").agg(F.round(F.avg("f1"), 6).alias("f1")), {"baseline": ["click", "purchase", "nobody"], "tier": ["gold", "silver", "bronze"]}, "f1"),
         "q55_row_facts": lambda s, d: tables.row_facts(table(s, d, "part").select("p_partkey", F.create_map(F.lit("size"), F.col("p_size").cast("string"), F.lit("brand"), F.when(F.col("p_size") % 7 != 0, F.col("p_brand")).otherwise(F.lit("-"))).alias("cells"), F.lit("2").alias("label")), ["p_partkey"], "cells", "label"),
         "q69_messages": lambda s, d: tables.messages(table(s, d, "lineitem").select("l_orderkey", "l_linenumber", "l_returnflag", "l_linestatus"), "l_orderkey", "l_linenumber", "l_returnflag", "l_linestatus").select("l_orderkey", F.array_join(F.transform("messages", lambda x: F.concat(x["role"], F.lit(":"), x["content"])), " ").alias("talk")),
