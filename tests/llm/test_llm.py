@@ -149,6 +149,14 @@ def test_texts_that_repeat_themselves(spark):
     assert groups == {i: i - i % 2 for i in range(len(texts))}
 
 
+def test_shared_passage_of_few_triples_links_nothing(spark):
+    r = random.Random(41)
+    few = " ".join(r.choice("abcd") for _ in range(300))
+    texts = [few + " " + " ".join(f"{r.choice(WORDS)}{r.randint(1, 10**6)}" for _ in range(100)) for _ in range(2)]
+    assert likeness(shingles(texts[0])[0], shingles(texts[1])[0]) < 0.3
+    assert neardup.found(patients(spark, texts)).count() == 0
+
+
 def test_empty_tables(spark):
     none = patients(spark, [])
     assert overlap.found(none, manifest(spark, 0).where("false")).count() == 0
