@@ -127,3 +127,22 @@ def test_tfidf_fits_on_train_and_transforms_test(spark):
         got = features.tfidf_transform(frame(test), features.tfidf_fit(frame(train), "text", most), "k", "text").collect()
         assert {(r.k, r.term): round(r.weight, 9) for r in got} == {k: round(v, 9) for k, v in want.items()}
         assert most == 4 or any(" " in x for x in vocabulary)
+
+
+def test_table_rows_of_documents(spark):
+    from velmira.plans import catalogue
+    from velmira.operators import tables
+
+    texts = [
+        "Dose | Pt | Outcome\n10 mg | 1 | free\n20 mg | 2 | no",
+        "Table 1. Doses\nDose | Pt\n10 mg | 1",
+        "| Name of the patient | Dose |\n|---|---|\n| second heading line | mg |\n| third heading line | x |\n| 1 | 20 |",
+        "| Name of the patient | Dose |\n| second heading line | mg |\n| P1 | 20 |",
+        "Name | Dose\n | first cell empty\n1. a longer numbered cell | 20",
+        "prose with one | in it",
+        None,
+        "Name | Dose | Outcome\n- | - | -\nP1 | 20 | ",
+    ]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: (len(r.header.split("\n")), len(r.rows)) for r in tables.table_rows(catalogue._table_texts(df), ["doc_id"], "text").collect()}
+    assert got == {0: (1, 2), 1: (1, 1), 2: (3, 1), 3: (2, 1), 4: (2, 1), 7: (1, 2)}

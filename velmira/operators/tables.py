@@ -8,11 +8,18 @@ from pyspark.sql import functions as F
 EMPTY_CELLS = ("", "-", "NA", "n/a", "N/A")
 
 
+def table_lines(content: Column) -> Column:
+    """The lines that hold a pipe, but for rules of dashes.  A line that opens with a pipe loses its outer pipes; in others a
+    first or last cell may be empty.  Several tables of one text come as one."""
+    held = F.filter(F.split(content, r"\r\n|\r|\n"), lambda x: x.contains("|") & ~x.rlike(r"^[\s|]*:?-{3,}[\s|:+=-]*$"))
+    return F.transform(held, lambda x: F.when(x.startswith("|"), F.regexp_replace(x, r"^\|\s*|\s*\|\s*$", "")).otherwise(x))
+
+
 def header_size(lines: Column) -> Column:
-    """Header lines of a pipe-text table, one to three: the first is one; the second and third are while their first
-    cell neither starts with a number nor has at most ten characters."""
+    """Header lines of a pipe-text table, one to three: the first is one; the second and third are unless their first
+    cell opens with a number or has one to ten characters.  Later ones count only after an earlier one."""
     cell = lambda i: F.trim(F.element_at(F.split(F.coalesce(F.get(lines, F.lit(i)), F.lit("")), r"\|"), 1))
-    data = lambda i: cell(i).rlike(r"^\d") | (F.length(cell(i)) <= 10)
+    data = lambda i: cell(i).rlike(r"^\d+[.)]*(\s|$)") | F.length(cell(i)).between(1, 10)
     return F.when(F.size(lines) < 2, F.size(lines)).when(data(1), 1).when((F.size(lines) < 3) | data(2), 2).otherwise(3)
 
 
