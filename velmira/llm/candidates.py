@@ -15,7 +15,7 @@ prefixes are posted.  Nothing else decides who may meet: every filter below is a
 *Sketch*: bit h is the parity of the number of triples that hash to h.  Two sketches differ in at most as many bits as
 the sets differ in triples, and likeness ``t`` allows ``(1 - t) / (1 + t)`` of both sizes together.
 
-No text meets itself; copies must be collapsed before (ids are unique per text).
+No row meets itself.  Texts in very many rows must be collapsed before (``without_copies``); few copies meet like others.
 """
 
 from __future__ import annotations
@@ -25,13 +25,18 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from velmira.llm import textops as X
+from velmira.session import cut
 
-_BLOCK = 500_000
+_BLOCK = 1 << 17  # pairs looked at at a time
 _SLACK = 1e-9
+_ROWS = 1 << 12  # texts sorted at a time: 12 bits of a sort key
+_LEVEL_BITS, _HASH_BITS = 6, 46
+#: Texts per bucket of postings, however many there are: a bucket is one task's work and has to fit in its memory.
+_BUCKET_TEXTS = 32_768
 _CELLS = 1 << 20
 #: Texts that the order is learned from: one in so many, and at most so many.  Any order is right, a good one is fast.
 _SAMPLE, _SAMPLE_MOST = 16, 20_000
@@ -49,7 +54,7 @@ def _count_stage(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         g, go = X.grams(*X.word_hashes(batch.column(0).to_pylist()), 3)
         v, _ = X.distinct_sorted(g, go)
         count += np.bincount(_cell(v), minlength=_CELLS)
-    level = np.clip(np.round(8 * np.log2(1 + count)), 0, 255).astype(np.uint8)
+    level = np.clip(np.round(3 * np.log2(1 + count)), 0, (1 << _LEVEL_BITS) - 1).astype(np.uint8)
     yield pa.RecordBatch.from_arrays([pa.array([zstandard.compress(level.tobytes())], pa.binary())], ["levels"])
 
 
@@ -63,7 +68,18 @@ def triple_levels(rows: DataFrame) -> bytes:
 def ordered_sets(words: np.ndarray, offsets: np.ndarray, levels: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(flat keys, offsets): each text's distinct triples, rare ones first.  A key is a triple's level and its hash."""
     g, go = X.grams(words, offsets, 3)
-    return X.distinct_sorted(levels[_cell(g)].astype(np.uint64) << np.uint64(56) | g >> np.uint64(8), go)
+    if len(g) == 0:
+        return g, np.zeros(len(offsets), np.int64)
+    key = levels[_cell(g)].astype(np.uint64) << np.uint64(_HASH_BITS) | g >> np.uint64(64 - _HASH_BITS)
+    below, mask = np.uint64(_LEVEL_BITS + _HASH_BITS), np.uint64((1 << (_LEVEL_BITS + _HASH_BITS)) - 1)
+    flat, sizes = [], []
+    for at in range(0, len(go) - 1, _ROWS):
+        end = min(at + _ROWS, len(go) - 1)
+        held = np.sort(key[go[at] : go[end]] | X.row_index(go[at : end + 1] - go[at]).astype(np.uint64) << below)
+        held = held[np.concatenate(([True], held[1:] != held[:-1]))[: len(held)]]
+        sizes.append(np.bincount((held >> below).astype(np.int64), minlength=end - at))
+        flat.append(held & mask)
+    return np.concatenate(flat), np.concatenate(([0], np.cumsum(np.concatenate(sizes))))
 
 
 def sketches(keys: np.ndarray, offsets: np.ndarray, bits: int) -> np.ndarray:
@@ -127,63 +143,68 @@ def _post_stage(ratio, least, bits, buckets, levels):
     return run
 
 
-def _bucket_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple[bytes, bytes, bytes]]]:
-    """Bodies of each bucket; a partition's rows come sorted by bucket."""
-    current, held = None, []
-    for batch in batches:
-        for bucket, *body in zip(*(c.to_pylist() for c in batch.columns)):
-            if bucket != current and held:
-                yield held
-                held = []
-            current = bucket
-            held.append(body)
+def _bucket_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[list[list[bytes]]]:
+    """Bodies of each bucket; a partition holds the rows of one bucket."""
+    held = [body for batch in batches for _, *body in zip(*(c.to_pylist() for c in batch.columns))]
     if held:
         yield held
 
 
 def _meet_lists(digest, text, place, size, side, sketch, ratio):
     """Pairs of texts that share a posted triple and break no bound, in blocks: yields (text, text), some twice."""
-    order = np.lexsort((size[text], digest))
+    order = np.argsort(digest << 31 | np.minimum(size, (1 << 31) - 1)[text])
     digest, text, place = digest[order], text[order], place[order]
     part, allowed = ratio / (1 + ratio), (1 - ratio) / (1 + ratio)
     top = int(size.max()) + 2
+    n = size[text]
     # the smaller of two texts needs a place that would do for two texts of its size
-    early = size[text] - place >= 2 * part * size[text] - _SLACK
+    early = n - place >= 2 * part * n - _SLACK
+    most = np.floor((n - place) / part - n + _SLACK).astype(np.int64)  # the largest partner at this place
+    low = np.ceil(n * ratio - _SLACK).astype(np.int64)
+    planes = [np.ascontiguousarray(sketch[:, j])[text] for j in range(sketch.shape[1])]
+    cost = (allowed * n + _SLACK).astype(np.float32)
     one_side = bool((side == 3).all())
     on = [np.ones(len(text), bool)] if one_side else [(side[text] & 1) > 0, (side[text] & 2) > 0]
     for larger, smaller in zip(on, reversed(on)):
         ours, theirs = np.flatnonzero(larger), np.flatnonzero(smaller & early)
-        n, room = size[text[ours]], size[text[ours]] - place[ours]
-        low = np.ceil(n * ratio - _SLACK).astype(np.int64)
-        high = np.minimum(n, np.floor(room / part - n + _SLACK).astype(np.int64))
-        listed = digest[theirs] * top + size[text[theirs]]
-        first = np.searchsorted(listed, digest[ours] * top + low, side="left")
-        last = np.searchsorted(listed, digest[ours] * top + np.maximum(high, 0), side="right")
+        listed = digest[theirs] * top + n[theirs]
+        first = np.searchsorted(listed, digest[ours] * top + low[ours], side="left")
+        last = np.searchsorted(listed, digest[ours] * top + np.maximum(np.minimum(n, most)[ours], 0), side="right")
         if one_side:
             last = np.minimum(last, np.searchsorted(theirs, ours))
-        yield from _stretches(ours, theirs, first, np.maximum(last - first, 0), text, place, size, sketch, part, allowed)
-
-
-def _stretches(ours, theirs, first, partners, text, place, size, sketch, part, allowed):
-    """The pairs of each of ``ours`` with its stretch of ``theirs`` that pass both bounds."""
-    ours_size = size[text[ours]]
-    # the largest partner that each of theirs may meet at its place
-    most = np.floor((size[text[theirs]] - place[theirs]) / part - size[text[theirs]] + _SLACK).astype(np.int64)
-    half = np.ascontiguousarray(sketch[:, : max(sketch.shape[1] // 2, 1)])
+        partners = np.maximum(last - first, 0)
+        some = np.flatnonzero(partners)
+        left = tuple(x[theirs] for x in (text, most, cost)), [x[theirs] for x in planes]
+        right = tuple(x[ours[some]] for x in (text, n, cost)), [x[ours[some]] for x in planes]
+        yield from _stretches(left, right, first[some], partners[some])
+
+
+def _stretches(theirs, ours, first, partners):
+    """The pairs of each of ``ours`` with its stretch of ``theirs`` that pass both bounds.  Everything is kept in the
+    order of the lists, so a stretch is read from one place; a sketch is compared word by word and left when too unlike."""
+    (t_text, t_most, t_cost), t_planes = theirs
+    (o_text, o_size, o_cost), o_planes = ours
+    half = max(len(t_planes) // 2, 1)
     cum, begin = np.cumsum(partners), 0
-    while begin < len(ours):
+    while begin < len(partners):
         base = cum[begin - 1] if begin else 0
         end = max(int(np.searchsorted(cum, base + _BLOCK, side="right")), begin + 1)
         rep = partners[begin:end]
-        left = np.repeat(first[begin:end] - (np.cumsum(rep) - rep), rep) + np.arange(rep.sum())
-        near = np.flatnonzero(most[left] >= np.repeat(ours_size[begin:end], rep))
-        a, b = text[theirs[left[near]]], text[np.repeat(ours[begin:end], rep)[near]]
-        bound = allowed * (size[a] + size[b]) + _SLACK
-        for part_of in (half, sketch):
-            near = (np.bitwise_count(part_of[a] ^ part_of[b]).sum(axis=1, dtype=np.int64) <= bound) & (a != b)
-            a, b, bound = a[near], b[near], bound[near]
+        o = np.repeat(np.arange(begin, end), rep)
+        t = np.repeat(first[begin:end] - (np.cumsum(rep) - rep), rep) + np.arange(len(o))
+        near = np.flatnonzero(t_most[t] >= o_size[o])
+        o, t = o[near], t[near]
+        bound = t_cost[t] + o_cost[o]
+        apart = np.zeros(len(o), np.uint16)
+        for j, (mine, other) in enumerate(zip(o_planes, t_planes)):
+            apart += np.bitwise_count(mine[o] ^ other[t])
+            if j + 1 in (half, len(t_planes)):
+                near = np.flatnonzero(apart <= bound)
+                o, t, bound, apart = o[near], t[near], bound[near], apart[near]
+        a, b = t_text[t], o_text[o]
         if len(a):
-            yield a, b
+            differ = a != b
+            yield a[differ], b[differ]
         begin = end
 
 
@@ -205,22 +226,22 @@ def _meet_stage(ratio, bits):
     return run
 
 
-def overlapping_pairs(texts: DataFrame, ratio: float, least: int, levels: bytes, bits: int = 512, buckets: int | None = None) -> DataFrame:
-    """Every pair of different texts whose likeness may be ``ratio`` or more, and few others: ``a, b`` with ``a < b``.
+def overlapping_pairs(texts: DataFrame, ratio: float, least: int, levels: bytes, bits: int = 512, n_texts: int = 0, buckets: int | None = None) -> DataFrame:
+    """Every pair of different rows whose likeness may be ``ratio`` or more, and few others: ``a, b`` with ``a < b``.
 
     ``texts``: ``uid BIGINT`` (unique), ``body STRING``, ``salt BIGINT`` (texts of different salt never meet), and
     optionally ``side INT``: 1, 2 or 3 for both; a text of one side then only meets texts of the other.
     ``levels``: from ``triple_levels``.  ``bits``: width of a sketch, a power of two from 64 up; wider ones keep more
-    unlike pairs out.  Null and empty texts, and texts shorter than ``least`` words, are in no pair; an empty input
-    gives an empty result.
+    unlike pairs out.  ``n_texts``: rows of ``texts``, at least about; buckets grow with it, so a task's work doesn't.
+    Null and empty texts, and texts shorter than ``least`` words, are in no pair; an empty input gives an empty result.
     """
     spark = texts.sparkSession
-    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    buckets = buckets or tasks  # a text's sketch goes to each bucket that one of its postings is in
+    # a text's sketch goes to each bucket that one of its postings is in, so there are no more buckets than needed
+    buckets = buckets or max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-n_texts // _BUCKET_TEXTS))
     side = F.col("side").cast("long") if "side" in texts.columns else F.lit(3).cast("long")
     shared = spark.sparkContext.broadcast(levels)
     postings = texts.select("uid", "body", "salt", side.alias("side")).mapInArrow(_post_stage(ratio, least, bits, buckets, shared), _PACKED)
-    met = postings.repartitionById(tasks, F.col("bucket") % tasks).sortWithinPartitions("bucket").mapInArrow(_meet_stage(ratio, bits), "a bigint, b bigint")
+    met = postings.repartitionById(buckets, F.col("bucket")).mapInArrow(_meet_stage(ratio, bits), "a bigint, b bigint")
     return met.distinct()
 
 
@@ -233,8 +254,8 @@ def likeness_of_batches(left: list[str], right: list[str], k: int = 3) -> np.nda
     number: dict[str, int] = {}
     sides = [np.array([number.setdefault(t, len(number)) for t in texts], dtype=np.int64) for texts in (left, right)]
     g, go = X.grams(*X.word_hashes(number), k)
-    g = g & np.uint64(0xFFFFFFFFFFFF0000)
-    out, step = np.zeros(len(left)), 1 << 14
+    out, step, low = np.zeros(len(left)), 1 << 12, np.uint64(51)
+    g = g >> np.uint64(64 - 51)
     for at in range(0, len(left), step):
         sets = []
         for side in sides:
@@ -242,10 +263,12 @@ def likeness_of_batches(left: list[str], right: list[str], k: int = 3) -> np.nda
             size = go[which + 1] - go[which]
             start = np.concatenate(([0], np.cumsum(size)))
             take = np.repeat(go[which] - start[:-1], size) + np.arange(start[-1])
-            sets.append(np.unique(g[take] | np.repeat(np.arange(len(which), dtype=np.uint64), size)))
-        both = np.intersect1d(*sets, assume_unique=True)
+            held = np.sort(g[take] | np.repeat(np.arange(len(which), dtype=np.uint64) << low, size))
+            sets.append(held[np.concatenate(([True], held[1:] != held[:-1]))[: len(held)]])
+        every = np.sort(np.concatenate(sets))
+        both = every[1:][every[1:] == every[:-1]]
         n = len(sides[0][at : at + step])
-        count = [np.bincount((s & np.uint64(0xFFFF)).astype(np.int64), minlength=n) for s in (*sets, both)]
+        count = [np.bincount((s >> low).astype(np.int64), minlength=n) for s in (*sets, both)]
         union = count[0] + count[1] - count[2]
         out[at : at + step] = np.where(union > 0, count[2] / np.maximum(union, 1), 0.0)
     return out
@@ -286,10 +309,33 @@ def verified(pairs: DataFrame, texts: DataFrame, least: float) -> DataFrame:
     return both.select("a", "b", "left_body", "right_body").mapInArrow(_check_stage(least), "a bigint, b bigint, likeness double")
 
 
-def collapsed(rows: DataFrame) -> DataFrame:
-    """One row per different text: ``uid`` (the least of its rows), ``body``, ``salt``, ``text_key``.
+#: A text that stands in more rows than this is searched once and its rows are listed afterwards.
+COPIES = 8
+BROADCAST_TEXTS = 100_000
+
+
+def text_key() -> Column:
+    return F.xxhash64("salt", "body")
+
+
+def copied_texts(rows: DataFrame, *extra: Column) -> tuple[DataFrame, int]:
+    """(``text_key, first_uid`` and the aggregates ``extra`` of the texts in more than ``COPIES`` rows, their number).
 
-    ``rows``: ``uid, body, salt``.  A group of copies, however large, is reduced map-side and never gathered.
+    ``rows``: ``uid, body, salt``.  A group of copies, however large, is counted map-side and never gathered.
     """
-    keyed = rows.withColumn("text_key", F.xxhash64("salt", "body"))
-    return keyed.groupBy("text_key").agg(F.min("uid").alias("uid"), F.first("body").alias("body"), F.first("salt").alias("salt"))
+    counts = rows.select(text_key().alias("text_key"), "uid", *(c for c in ("side",) if c in rows.columns)).groupBy("text_key")
+    many = cut(counts.agg(F.min("uid").alias("first_uid"), F.count("*").alias("n"), *extra).where(F.col("n") > COPIES))
+    return many, many.count()
+
+
+def without_copies(rows: DataFrame, many: DataFrame, n_many: int) -> DataFrame:
+    """``rows`` with one row for each of the texts of ``many``, which has their ``side`` if they have one.  The list is
+    broadcast up to ``BROADCAST_TEXTS`` texts and joined by shuffle beyond."""
+    if n_many == 0:
+        return rows
+    sided = "side" in rows.columns
+    listed = many.select("text_key", "first_uid", *([F.col("side").alias("all_sides")] if sided else []))
+    listed = F.broadcast(listed) if n_many <= BROADCAST_TEXTS else listed
+    joined = rows.withColumn("text_key", text_key()).join(listed, "text_key", "left").where("first_uid is null or first_uid = uid")
+    side = [F.coalesce("all_sides", "side").alias("side")] if sided else []
+    return joined.select("uid", "body", "salt", *side)

@@ -9,27 +9,11 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterable
-from hashlib import blake2b
 
 import numpy as np
 
 WORD = re.compile(r"[a-z0-9]+")
 _P = np.uint64(0x9E3779B97F4A7C15)
-_CACHE_LIMIT = 500_000
-
-
-class _WordHashes(dict):
-    """word -> stable 64-bit hash; equal on every executor and every run."""
-
-    def __missing__(self, word: str) -> int:
-        if len(self) > _CACHE_LIMIT:
-            self.clear()
-        value = int.from_bytes(blake2b(word.encode(), digest_size=8).digest(), "little")
-        self[word] = value
-        return value
-
-
-_HASHES = _WordHashes()
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -43,16 +27,47 @@ def words_of(text: str | None) -> list[str]:
     return WORD.findall(text.lower()) if text else []
 
 
+def _powers(base: int, n: int) -> np.ndarray:
+    out = np.full(n, base, np.uint64)
+    out[0] = 1
+    return np.multiply.accumulate(out)
+
+
+_IS_WORD = np.zeros(256, bool)
+_IS_WORD[np.frombuffer(b"abcdefghijklmnopqrstuvwxyz0123456789", np.uint8)] = True
+_SLICE = 1 << 18  # bytes hashed at a time, so that the arrays stay in the cache
+_BASE = 0xD1B54A32D192ED03
+_UP, _DOWN = _powers(_BASE, 2 * _SLICE), _powers(pow(_BASE, -1, 1 << 64), 2 * _SLICE)
+
+
 def word_hashes(texts: Iterable[str | None]) -> tuple[np.ndarray, np.ndarray]:
-    """(flat uint64 hashes, int64 offsets of length n+1). Null and empty texts have no words."""
-    flat: list[int] = []
-    ends: list[int] = [0]
-    get, find = _HASHES.__getitem__, WORD.findall
-    for text in texts:
-        if text:
-            flat.extend(map(get, find(text.lower())))
-        ends.append(len(flat))
-    return np.array(flat, dtype=np.uint64), np.array(ends, dtype=np.int64)
+    """(flat uint64 hashes, int64 offsets of length n+1). Null and empty texts have no words.
+
+    A word's hash is its polynomial in the bytes: differences of one running sum, so no word becomes a Python object.
+    Equal on every executor and every run.
+    """
+    raw = [text.lower().encode("utf-8", "replace") if text else b"" for text in texts]
+    ends_of_rows = np.cumsum([len(r) + 1 for r in raw])
+    blob = np.frombuffer(b"\n".join([*raw, b""]), np.uint8)
+    if len(blob) == 0:
+        return np.empty(0, np.uint64), np.zeros(len(raw) + 1, np.int64)
+    inside = _IS_WORD[blob]
+    edges = np.flatnonzero(inside[1:] != inside[:-1]) + 1
+    if inside[0]:
+        edges = np.concatenate(([0], edges))
+    starts, ends = edges[::2], edges[1::2]  # every row ends in a separator, so every word does
+    out = np.empty(len(starts), np.uint64)
+    at = 0
+    while at < len(starts):
+        end = max(int(np.searchsorted(ends, starts[at] + _SLICE)), at + 1)
+        low, high = int(starts[at]), int(ends[end - 1])
+        up, down = (_UP, _DOWN) if high - low < len(_UP) else (_powers(_BASE, high - low + 1), _powers(pow(_BASE, -1, 1 << 64), high - low + 1))
+        total = np.zeros(high - low + 1, np.uint64)
+        np.cumsum(blob[low:high] * up[: high - low], out=total[1:])
+        s, e = starts[at:end] - low, ends[at:end] - low
+        out[at:end] = (total[e] - total[s]) * down[s]
+        at = end
+    return mix(out), np.concatenate(([0], np.searchsorted(starts, ends_of_rows))).astype(np.int64)
 
 
 def grams(words: np.ndarray, offsets: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
