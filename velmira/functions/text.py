@@ -41,11 +41,21 @@ def path_hash(path: Column) -> Column:
     return F.left(F.sha1(path), F.lit(16))
 
 
+# fixed values: how a figure number stands in a file name, the first that fits counts
+FIGURE_NUMBERS = (r"[Ff]ig(?:ure)?[-_]?(\d+)", r"[Ff](\d+)", r"figure(\d+)")
+
+
+def figure_number(path: Column) -> Column:
+    return F.coalesce(*(F.nullif(F.regexp_extract(path, pattern, 1), F.lit("")) for pattern in FIGURE_NUMBERS))
+
+
 def figure_id(path: Column) -> Column:
-    number = F.lit(None).cast("string")
-    for pattern in (r"(?i)figure(\d+)", r"F(\d+)", r"(?i)fig(?:ure)?[-_ ]?(\d+)"):
-        number = F.coalesce(F.nullif(F.regexp_extract(path, pattern, 1), F.lit("")), number)
-    return F.concat(F.lit("fig"), number)
+    return F.concat(F.lit("fig"), figure_number(path))
+
+
+def document_id(path: Column) -> Column:
+    """``PMC`` and its number inside a path, or null."""
+    return F.nullif(F.regexp_extract(path, r"PMC\d+", 0), F.lit(""))
 
 
 def panel_label(index: Column) -> Column:
@@ -68,15 +78,47 @@ def expand_labels(label: Column) -> Column:
     return F.when(t.rlike(r"^[A-Z]\s*[-–—]\s*[A-Z]$"), ranged).otherwise(split)
 
 
+def _first_of_label(parts: Column) -> Column:
+    return F.filter(parts, lambda x, i: F.array_position(F.transform(parts, lambda y: y["label"]), x["label"]) == i + 1)
+
+
 def labelled_parts(caption: Column) -> Column:
-    """``array<struct<label, text>>``: the first notation with two labels or more gives the parts; else empty."""
+    """``array<struct<label, text>>``: the first notation with two labels or more gives the parts; else empty.  A label
+    that comes again keeps its first text."""
     c = F.regexp_replace(caption, r"^\s+|\s+$", "")
-    out = F.array().cast("array<struct<label:string,text:string>>")
-    for pattern in (LISTED, LEADING, BRACKETED):
+    found = []
+    for pattern in (BRACKETED, LEADING, LISTED):
         names, texts = (F.regexp_extract_all(c, F.lit(pattern), F.lit(g)) for g in (1, 2))
-        zipped = F.zip_with(names, texts, lambda n, x: F.transform(expand_labels(n), lambda one: F.struct(one.alias("label"), F.regexp_replace(F.regexp_replace(x, r"^\s+|\s+$", ""), r"[.;,]+$", "").alias("text"))))
-        out = F.when(F.size(names) >= 2, F.flatten(zipped)).otherwise(out)
-    return out
+        stripped = lambda x: F.regexp_replace(F.regexp_replace(x, r"^\s+|\s+$", ""), r"[.;,]+$", "")
+        zipped = F.flatten(F.zip_with(names, texts, lambda n, x: F.transform(expand_labels(n), lambda one: F.struct(one.alias("label"), stripped(x).alias("text")))))
+        found.append(F.when(F.size(names) >= 2, _first_of_label(zipped)))
+    return F.coalesce(*found, F.array().cast("array<struct<label:string,text:string>>"))
+
+
+def caption_levels(caption: Column, label: Column, answered: Column) -> Column:
+    """``struct<text, confidence>`` of a panel: its part of the caption (0.8), else what a model answered (0.6), else the
+    whole caption (0.3)."""
+    part = F.get(F.filter(labelled_parts(caption), lambda x: x["label"] == F.upper(label)), F.lit(0))["text"]
+    level = lambda text, sure: F.when(F.length(text) > 0, F.struct(text.alias("text"), F.lit(sure).alias("confidence")))
+    return F.coalesce(level(part, 0.8), level(answered, 0.6), level(caption, 0.3))
+
+
+def listed_lines(header: str, items: Column, most: int) -> Column:
+    """``header`` and one line ``- label: caption`` per item (``array<struct<label, caption>>``), captions cut at ``most``."""
+    return F.array_join(F.concat(F.array(F.lit(header)), F.transform(items, lambda x: F.concat(F.lit("- "), x["label"], F.lit(": "), F.left(F.coalesce(x["caption"], F.lit("")), F.lit(most))))), "\n")
+
+
+def numbered_facts(facts: Column) -> Column:
+    """One numbered paragraph per ``struct<fact, quote>``: the fact, and its quote on a line of its own."""
+    one = lambda x, i: F.concat((i + 1).cast("string"), F.lit(". "), x["fact"], F.lit("\n   QUOTE: "), x["quote"])
+    return F.array_join(F.transform(facts, one), "\n")
+
+
+def lines_about(definition: Column, classes: Column) -> Column:
+    """The first line of a definition and those of the others that name one of the classes in double quotes."""
+    lines = F.split(definition, "\n")
+    named = lambda x: F.exists(classes, lambda c: F.contains(x, F.concat(F.lit('"'), c, F.lit('"'))))
+    return F.array_join(F.filter(lines, lambda x, i: (i == 0) | named(x)), "\n")
 
 
 def first_json(text: Column) -> Column:

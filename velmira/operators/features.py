@@ -33,6 +33,32 @@ def masked(logits: Column, populated: list[int]) -> Column:
     return F.transform(logits, lambda v, i: F.when(i.isin(populated), v).otherwise(F.lit(float("-inf"))))
 
 
+def masked_mean(vectors: list[Column], missing: float = -1e9) -> Column:
+    """Mean of score vectors over the same classes where a class that a vector doesn't reach counts as ``missing``; null
+    vectors don't count."""
+    longest = F.greatest(*(F.coalesce(F.size(v), F.lit(0)) for v in vectors)) if len(vectors) > 1 else F.size(vectors[0])
+    padded = [F.when(v.isNotNull(), F.concat(v, F.array_repeat(F.lit(missing), longest - F.size(v)))) for v in vectors]
+    there = sum((F.when(v.isNotNull(), 1).otherwise(0) for v in vectors[1:]), F.when(vectors[0].isNotNull(), 1).otherwise(0))
+    total = padded[0]
+    for p in padded[1:]:
+        total = F.coalesce(F.zip_with(total, p, lambda a, b: a + b), total, p)
+    return F.transform(total, lambda v: v / there)
+
+
+def sigmoid(values: Column) -> Column:
+    return F.transform(values, lambda x: 1 / (1 + F.exp(-x)))
+
+
+def cosine(a: Column, b: Column) -> Column:
+    dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda u, v: u.cast("double") * v.cast("double")), F.lit(0.0), lambda s, z: s + z)
+    return F.try_divide(dot(a, b), F.sqrt(dot(a, a)) * F.sqrt(dot(b, b)))
+
+
+def contributions(df: DataFrame, modalities: list[str]) -> DataFrame:
+    """``n`` rows and the number of rows that have each of the modalities."""
+    return df.agg(F.count("*").alias("n"), *(F.count(m).alias(m) for m in modalities))
+
+
 def argmax(values: Column) -> Column:
     return F.array_position(values, F.array_max(values)).cast("int") - 1
 

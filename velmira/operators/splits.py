@@ -57,3 +57,44 @@ def linked_figures(panels: DataFrame, profiles: DataFrame) -> DataFrame:
     refs = profiles.select("pmc_id", "patient_ref", F.posexplode("figure_refs").alias("pos", "ref")).withColumn("figure_no", F.regexp_extract("ref", r"(\d+)", 1))
     met = panels.join(refs.where("figure_no <> ''"), ["pmc_id", "figure_no"])
     return met.groupBy("pmc_id", "subfig_id", "patient_ref").agg(F.min_by("ref", "pos").alias("figure_ref"))
+
+
+#: Tiers that train under each regime; a tier that is trained on is not scored.
+REGIMES = {"B": ("train",), "B_C": ("train", "bronze"), "B_C_D": ("train", "bronze", "expansion")}
+
+
+def regime_rows(rows: DataFrame, tier: str) -> DataFrame:
+    """``regime`` and the rows that train under it: the union of its tiers, by one pass instead of a union per regime."""
+    member = F.array(*(F.when(F.col(tier).isin(*tiers), F.lit(name)) for name, tiers in REGIMES.items()))
+    return rows.withColumn("regime", F.explode(F.filter(member, lambda x: x.isNotNull())))
+
+
+def scored_rows(rows: DataFrame, tier: str) -> DataFrame:
+    """``regime`` and the rows that are scored under it: those of tiers that it doesn't train on."""
+    member = F.array(*(F.when(~F.col(tier).isin(*tiers), F.lit(name)) for name, tiers in REGIMES.items()))
+    return rows.withColumn("regime", F.explode(F.filter(member, lambda x: x.isNotNull())))
+
+
+def head_sizes(parts: list[DataFrame], by: list[str], label_id: str) -> DataFrame:
+    """``by, n_classes``: outputs that hold every label of any of the parts (the greatest id and one more)."""
+    most = [p.groupBy(*by).agg(F.max(label_id).alias("m")) for p in parts]
+    every = most[0]
+    for m in most[1:]:
+        every = every.unionByName(m)
+    return every.groupBy(*by).agg((F.max("m") + 1).alias("n_classes"))
+
+
+def support(train: DataFrame, by: list[str], least: int = 20) -> DataFrame:
+    """``by, n, status``: ``skipped`` where fewer than ``least`` rows train."""
+    return train.groupBy(*by).agg(F.count("*").alias("n")).withColumn("status", F.when(F.col("n") < least, "skipped").otherwise("trained"))
+
+
+def wholly_merged(candidates: DataFrame) -> DataFrame:
+    """``merged_entities`` with the facts themselves, in the order in which they were found: the facts of a person are
+    bounded by its document, not by the corpus."""
+    key = F.coalesce(canonical_person(F.col("patient_ref")), F.lit(""))
+    fine = candidates.withColumn("person", key).where("person <> '' and length(quote) >= 15 and length(fact) > 0")
+    once = fine.groupBy("pmc_id", "person", "fact", "quote").agg(F.min("seq").alias("seq"))
+    facts = once.groupBy("pmc_id", "person").agg(F.array_sort(F.collect_list(F.struct("seq", "fact", "quote"))).alias("f"))
+    kept = facts.select("pmc_id", "person", F.transform("f", lambda x: F.struct(x["fact"].alias("fact"), x["quote"].alias("quote"))).alias("facts"))
+    return merged_entities(candidates).join(kept, ["pmc_id", "person"], "left").withColumn("facts", F.coalesce("facts", F.array().cast("array<struct<fact:string,quote:string>>")))

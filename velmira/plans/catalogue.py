@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from velmira.functions import rules, text
 from velmira.operators import features, images, metrics, report, splits, tables, units, unpack
+from velmira.plans import curation
 from velmira.session import table
 from velmira.streaming import incremental
 
@@ -21,20 +22,13 @@ _TIERS = ["A", "B", "C", "D"]
 _PREDS = "SELECT gt_id, task, truth AS y, {p} AS p FROM task_evidence WHERE truth IS NOT NULL"
 
 
-def _read_rule(task_column: str, quote: str):
-    out = F.lit(None).cast("string")
-    for task in rules.TASKS:
-        out = F.when(F.col(task_column) == task, rules.consolidate(task, F.col(quote))).otherwise(out)
-    return out
-
-
 def _read_rule_sql() -> str:
     return "CASE task " + " ".join(f"WHEN '{t}' THEN {rules.consolidate_sql(t, 'evidence_quote')}" for t in rules.TASKS) + " END"
 
 
 def _preds(s, d) -> DataFrame:
     e = table(s, d, "task_evidence").where("truth is not null")
-    return e.select("gt_id", "task", F.col("truth").alias("y"), _read_rule("task", "evidence_quote").alias("p"))
+    return rules.with_labels(e, F.col("task"), "evidence_quote", "p").select("gt_id", "task", F.col("truth").alias("y"), "p")
 
 
 def _table_texts(documents: DataFrame) -> DataFrame:
@@ -79,7 +73,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "q03_tier_doc_variant": lambda s, d: patients(s, d).select("record_id", rules.tier("doc").alias("assigned")),
     }
     for i, task in enumerate(rules.TASKS):
-        out[f"q{4 + i:02d}_consolidate_{task}"] = lambda s, d, t=task: table(s, d, "task_evidence").select("gt_id", rules.consolidate(t, F.col("evidence_quote")).alias("label"))
+        out[f"q{4 + i:02d}_consolidate_{task}"] = lambda s, d, t=task: rules.with_labels(table(s, d, "task_evidence"), t, "evidence_quote", "label").select("gt_id", "label")
     out |= {
         "q10_consolidate_dispatch": lambda s, d: _preds(s, d),
         "q13_modality_text": lambda s, d: _panels(s, d).select("subfig_id", rules.modality_of(F.col("subcaption")).alias("read")),
@@ -115,7 +109,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "q54_merge_entities": lambda s, d: splits.merged_entities(table(s, d, "task_evidence").select("pmc_id", F.col("gt_id").alias("seq"), F.concat(F.lit("Patient "), F.col("patient_num").cast("string")).alias("patient_ref"), (F.col("gt_id") % 2 == 0).alias("is_explicit"), F.col("truth").alias("fact"), F.col("evidence_quote").alias("quote"), F.lit("Figure 1").alias("figure_ref"))).select("pmc_id", "person", "display", "is_explicit", "n_facts"),
         "q57_valid_quotes": lambda s, d: table(s, d, "task_evidence").select("gt_id", F.when(F.length(F.regexp_replace("evidence_quote", r"^\s+|\s+$", "")) >= 15, F.col("truth")).alias("kept"), F.col("redacted").contains("[redacted]").alias("masked")),
         "q59_mean_pool": lambda s, d: features.mean_pooled(table(s, d, "embeddings"), "label", "embedding", 64).select("label", "n", F.posexplode("vector").alias("pos", "v")).select("label", "n", "pos", F.round("v", 5).alias("v")),
-        "q61_late_fusion": lambda s, d: table(s, d, "embeddings").withColumn("a", F.transform(F.slice("embedding", 1, 4), lambda x: x.cast("double"))).withColumn("b", F.when(F.col("vec_id") % 3 != 0, F.transform(F.slice("embedding", 5, 4), lambda x: x.cast("double")))).select("vec_id", features.argmax(features.fused([F.col("a"), F.col("b")])).alias("pred")),
+        "q61_late_fusion": lambda s, d: table(s, d, "embeddings").withColumn("a", F.transform(F.slice("embedding", 1, 32), lambda x: x.cast("double"))).withColumn("b", F.when(F.col("vec_id") % 3 != 0, F.transform(F.slice("embedding", 33, 32), lambda x: x.cast("double")))).select("vec_id", features.argmax(features.fused([F.col("a"), F.col("b")])).alias("pred")),
         "q63_decision": lambda s, d: table(s, d, "embeddings").select("vec_id", images.decision(F.transform("embedding", lambda x: F.abs(x).cast("double")), 14).alias("decision")),
         "q64_tfidf": lambda s, d: features.tfidf(table(s, d, "papers").select("pmc_id", "abstract"), "pmc_id", "abstract").select("pmc_id", "term", F.round("weight", 6).alias("weight")),
         "q64_tfidf_bigrams": lambda s, d: _tfidf_split(table(s, d, "documents")),
@@ -129,7 +123,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "q72_dataset_stats": lambda s, d: _panels(s, d).agg(F.count("*").alias("n"), F.count_distinct("pmc_id").alias("n_papers"), F.count_if(F.size("findings") > 0).alias("with_findings"), F.count_if(F.col("modality").isNotNull()).alias("with_modality")),
         "q75_modality_coverage": lambda s, d: patients(s, d).agg(r6(F.avg((F.coalesce("num_mri_images", F.lit(0)) > 0).cast("int")), "mri"), r6(F.avg((F.coalesce("num_eeg_images", F.lit(0)) > 0).cast("int")), "eeg")),
     }
-    return out
+    return out | curation.queries()
 
 
 def oracle_sql() -> dict[str, str]:
@@ -159,7 +153,7 @@ def oracle_sql() -> dict[str, str]:
         "q13_modality_text": f"SELECT subfig_id, {rules.sql(rules.MODALITY_RULES, chr(39).join(['lower(coalesce(subcaption, ', '', '))']), 'UNKNOWN')} AS read FROM subcaptions",
         "q14_table_filename": f"SELECT subfig_id, regexp_matches(regexp_extract(subfigure_path, '[^/]*$'), '{rules.TABLE_FILE}') AS is_table FROM subcaptions",
         "q16_panel_label": "SELECT l_orderkey, l_linenumber, CASE WHEN l_orderkey % 30 < 26 THEN chr(CAST(65 + l_orderkey % 30 AS INT)) ELSE 'Panel' || CAST(l_orderkey % 30 + 1 AS VARCHAR) END AS label FROM lineitem",
-        "q17_figure_id": r"SELECT subfig_id, 'fig' || coalesce(nullif(regexp_extract(source_image, '(?i)fig(?:ure)?[-_ ]?(\d+)', 1), ''), nullif(regexp_extract(source_image, 'F(\d+)', 1), ''), nullif(regexp_extract(source_image, '(?i)figure(\d+)', 1), '')) AS figure FROM subcaptions",
+        "q17_figure_id": r"SELECT subfig_id, 'fig' || coalesce(nullif(regexp_extract(source_image, '[Ff]ig(?:ure)?[-_]?(\d+)', 1), ''), nullif(regexp_extract(source_image, '[Ff](\d+)', 1), ''), nullif(regexp_extract(source_image, 'figure(\d+)', 1), '')) AS figure FROM subcaptions",
         "q18_first_json": "SELECT event_id, json_extract_string(props, '$.k') AS k FROM events",
         "q19_input_text": f"SELECT record_id, coalesce(nullif({parts(allparts)}, ''), '(no clinical text)') AS input FROM patients",
         "q20_masked_text": f"SELECT record_id, CASE WHEN length({masked}) > 3000 THEN left({masked}, 2997) || '...' ELSE {masked} END AS input FROM patients",
@@ -197,4 +191,4 @@ def oracle_sql() -> dict[str, str]:
     }
     for i, task in enumerate(rules.TASKS):
         out[f"q{4 + i:02d}_consolidate_{task}"] = f"SELECT gt_id, {rules.consolidate_sql(task, 'evidence_quote')} AS label FROM task_evidence"
-    return out
+    return out | curation.oracle_sql()
