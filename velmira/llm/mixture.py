@@ -1,14 +1,15 @@
 """Problem 9: mixing sources to target weights.
 
 Method: Sainte-Laguë apportionment.  Sizes are tokens of the public BPE vocabulary (bpe.py).  Documents of a source
-fall into shards by a seeded hash, and inside a shard into blocks of nearly equal tokens.  Blocks are allotted to
-sources by the highest quotients of share over 1, 3, 5, ..., then a source's blocks to its shards the same way by
-shard size; inside a shard, blocks are taken in seeded order, all of them once before any of them twice.
+fall into shards by a seeded hash, as many as the source's own tokens need, and inside a shard into blocks of nearly equal
+tokens; blocks are small enough that the smallest source still has ``LEAST_BLOCKS``.  Blocks are allotted to sources by the
+highest quotients of share over 1, 3, 5, ..., then a source's blocks to its shards the same way by shard size.  Inside a
+shard, the tokens of its quota are taken in seeded order of the blocks, all of them once before any of them twice.
 
 The total is the largest at which no source needs more than its ``max_repeats`` passes.  Shares of listed sources
 without tokens go to the others in proportion, and are reported as not reached.  Documents without a source, of a
 source that isn't listed, or without tokens are not in the mixture.  Only the table of targets (one row per listed
-source) reaches the driver; shards hold about ``SHARD_ROWS`` documents, so no task holds a whole source.
+source) reaches the driver; a shard holds about ``SHARD_TOKENS`` tokens, so no task holds the documents of a source.
 Empty tables give an empty mixture.
 """
 
@@ -23,7 +24,8 @@ from velmira.llm.bpe import counted
 from velmira.session import cut
 
 BLOCK_TOKENS = 2048
-SHARD_ROWS = 20_000
+LEAST_BLOCKS = 64  # of a source, and of a shard
+SHARD_TOKENS = 4_000_000
 SEED = 42
 
 
@@ -60,30 +62,40 @@ def _shard_quotas(group: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"source": group["source"], "shard": group["shard"], "shard_quota": quota})
 
 
-def blocks_of(documents: DataFrame, block_tokens: int = BLOCK_TOKENS, seed: int = SEED) -> DataFrame:
-    """``doc_id, source, n_tokens, shard, block, blocks``: documents in seeded order, cut into blocks per shard."""
-    sized = cut(counted(documents.where("source is not null"), "text", keep=("doc_id", "source")).where("n_tokens > 0"))
-    shards = max(8, sized.count() // SHARD_ROWS)
-    placed = sized.withColumn("h", F.xxhash64("doc_id", F.lit(seed))).withColumn("shard", F.pmod("h", F.lit(shards)))
+def wanted_sources(targets: DataFrame) -> DataFrame:
+    """``source, target_share, max_repeats`` of the listed sources that may be in the mixture."""
+    return targets.where("source is not null and target_share > 0 and max_repeats > 0").groupBy("source").agg(
+        F.sum("target_share").alias("target_share"), F.max("max_repeats").alias("max_repeats")
+    )
+
+
+def blocks_of(documents: DataFrame, targets: DataFrame, block_tokens: int = BLOCK_TOKENS, shard_tokens: int = SHARD_TOKENS, seed: int = SEED) -> DataFrame:
+    """``doc_id, source, n_tokens, shard, block, blocks, size``: the documents of listed sources in seeded order, cut into
+    blocks per shard (``blocks`` and ``size`` in tokens are the shard's)."""
+    listed = wanted_sources(targets).select("source")
+    sized = cut(counted(documents.join(F.broadcast(listed), "source", "left_semi"), "text", keep=("doc_id", "source")).where("n_tokens > 0"))
+    sums = cut(sized.groupBy("source").agg(F.sum("n_tokens").alias("tokens")))
+    least = sums.agg(F.min("tokens")).first()[0] or 0
+    unit = max(1, min(block_tokens, least // LEAST_BLOCKS))
+    shards = F.greatest(F.lit(1), F.floor(F.col("tokens") / max(shard_tokens, LEAST_BLOCKS * unit)))
+    placed = sized.join(F.broadcast(sums.select("source", shards.alias("shards"))), "source")
+    placed = placed.withColumn("h", F.xxhash64("doc_id", F.lit(seed))).withColumn("shard", F.pmod("h", F.col("shards"))).drop("shards")
     shard = Window.partitionBy("source", "shard")
     running = shard.orderBy("h", "doc_id", "n_tokens").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     placed = placed.withColumns({"end": F.sum("n_tokens").over(running), "size": F.sum("n_tokens").over(shard)})
-    placed = placed.withColumn("blocks", F.greatest(F.lit(1), F.round(F.col("size") / block_tokens)).cast("long"))
+    placed = placed.withColumn("blocks", F.greatest(F.lit(1), F.round(F.col("size") / unit)).cast("long"))
     middle = F.col("end") - F.col("n_tokens") / 2
     return placed.withColumn("block", F.least(F.floor(middle * F.col("blocks") / F.col("size")), F.col("blocks") - 1)).select(
-        "doc_id", "source", "n_tokens", "shard", "block", "blocks"
+        "doc_id", "source", "n_tokens", "shard", "block", "blocks", "size"
     )
 
 
-def mixture(documents: DataFrame, targets: DataFrame, block_tokens: int = BLOCK_TOKENS, seed: int = SEED) -> DataFrame:
+def mixture(documents: DataFrame, targets: DataFrame, block_tokens: int = BLOCK_TOKENS, seed: int = SEED, shard_tokens: int = SHARD_TOKENS) -> DataFrame:
     """``doc_id, source, copy, n_tokens``: one row per taken copy of a document, ``copy`` from 1."""
     spark = documents.sparkSession
-    placed = cut(blocks_of(documents, block_tokens, seed))
-    shards = placed.groupBy("source", "shard").agg(F.max("blocks").alias("blocks"))
-    wanted = targets.where("source is not null and target_share > 0 and max_repeats > 0").groupBy("source").agg(
-        F.sum("target_share").alias("target_share"), F.max("max_repeats").alias("max_repeats")
-    )
-    have = wanted.join(shards.groupBy("source").agg(F.sum("blocks").alias("available")), "source").orderBy("source").toPandas()
+    placed = cut(blocks_of(documents, targets, block_tokens, shard_tokens, seed))
+    shards = placed.groupBy("source", "shard").agg(F.max("blocks").alias("blocks"), F.max("size").alias("size"))
+    have = wanted_sources(targets).join(shards.groupBy("source").agg(F.sum("blocks").alias("available")), "source").orderBy("source").toPandas()
     empty = placed.where("false").select("doc_id", "source", F.lit(1).alias("copy"), "n_tokens")
     if have.empty:
         return empty
@@ -91,17 +103,18 @@ def mixture(documents: DataFrame, targets: DataFrame, block_tokens: int = BLOCK_
     caps = (have["available"] * have["max_repeats"]).to_numpy()
     have["quota"] = apportion(share, int(np.floor((caps / share).min())), caps)
     quotas = spark.createDataFrame(have[["source", "quota", "max_repeats"]].astype({"quota": "int64", "max_repeats": "int64"}))
-    per_shard = shards.join(F.broadcast(quotas), "source").groupBy("source").applyInPandas(_shard_quotas, "source string, shard bigint, shard_quota bigint")
-    blocks = placed.select("source", "shard", "block", "blocks").distinct()
-    rank = F.row_number().over(Window.partitionBy("source", "shard").orderBy(F.xxhash64("source", "shard", "block", F.lit(seed)), "block")) - 1
-    # a block may be empty where one document fills several; passes count over the blocks that hold documents
-    filled = F.count("*").over(Window.partitionBy("source", "shard"))
+    # rows of shards, not of documents: one per SHARD_TOKENS tokens of a source
+    per_shard = shards.select("source", "shard", "blocks").join(F.broadcast(quotas), "source").groupBy("source").applyInPandas(_shard_quotas, "source string, shard bigint, shard_quota bigint")
+    blocks = placed.groupBy("source", "shard", "block").agg(F.sum("n_tokens").alias("tokens"), F.max("blocks").alias("blocks"), F.max("size").alias("size"))
+    order = Window.partitionBy("source", "shard").orderBy(F.xxhash64("source", "shard", "block", F.lit(seed)), "block").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    # the quota's tokens: whole passes over the shard, then blocks in seeded order up to the rest
+    due = F.col("shard_quota") * F.col("size") / F.col("blocks")
     taken = (
-        blocks.withColumns({"rank": rank, "filled": filled})
+        blocks.withColumn("end", F.sum("tokens").over(order))
         .join(per_shard, ["source", "shard"])
         .join(F.broadcast(quotas.select("source", "max_repeats")), "source")
-        .withColumn("wanted", F.round(F.col("shard_quota") * F.col("filled") / F.col("blocks")).cast("long"))
-        .withColumn("copies", F.expr("least(wanted div filled + if(rank < wanted % filled, 1, 0), max_repeats)"))
+        .withColumn("passes", F.floor(due / F.col("size") + 1e-9))
+        .withColumn("copies", F.least(F.col("passes") + F.when(F.col("end") - F.col("tokens") / 2 < due - F.col("passes") * F.col("size"), 1).otherwise(0), F.col("max_repeats")))
         .where("copies > 0")
         .select("source", "shard", "block", F.col("copies").cast("int").alias("copies"))
     )
@@ -110,9 +123,9 @@ def mixture(documents: DataFrame, targets: DataFrame, block_tokens: int = BLOCK_
     )
 
 
-def shares(documents: DataFrame, targets: DataFrame, block_tokens: int = BLOCK_TOKENS, seed: int = SEED) -> DataFrame:
+def shares(documents: DataFrame, targets: DataFrame, block_tokens: int = BLOCK_TOKENS, seed: int = SEED, shard_tokens: int = SHARD_TOKENS) -> DataFrame:
     """Per listed source: ``source, target_share, max_repeats, n_docs, n_rows, n_tokens, reached_share, most_copies``."""
-    mixed = mixture(documents, targets, block_tokens, seed)
+    mixed = mixture(documents, targets, block_tokens, seed, shard_tokens)
     sums = mixed.groupBy("source").agg(
         F.count_distinct("doc_id").alias("n_docs"), F.count("*").alias("n_rows"), F.sum("n_tokens").alias("n_tokens"), F.max("copy").alias("most_copies")
     )

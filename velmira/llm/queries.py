@@ -25,6 +25,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "p9_shares": lambda s, d: mixture.shares(table(s, d, "documents"), table(s, d, "source_targets")),
         "p10_found": lambda s, d: quality.found(table(s, d, "documents")),
         "p10_report": lambda s, d: quality.report(table(s, d, "documents")),
+        "p7_shares": lambda s, d: groupsplit.split_shares(table(s, d, "patients"), table(s, d, "patient_links")),
         "p7_splits": lambda s, d: groupsplit.splits(table(s, d, "patients"), table(s, d, "patient_links")),
     }
 
