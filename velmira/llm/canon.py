@@ -11,18 +11,19 @@ carry a match: the rest of the two sets must be alike as well.
 
 Edge cases: null, blank and missing-value signs are not mapped at all; a value below the threshold is reported with
 ``ref_id`` 0; each different value is matched once, however often it occurs; repeated rows are kept; empty tables give
-empty tables.  Only the reference list (fixed, at most ``REFERENCE_ROWS`` spellings, checked) is broadcast.
+empty tables.  The reference list is broadcast only up to ``REFERENCE_ROWS`` spellings and ``REFERENCE_NAMES`` names.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from velmira.session import cut
 
 THRESHOLDS = {"modality": 0.42, "anatomical_region": 0.36}
 REFERENCE_ROWS = 20_000
+REFERENCE_NAMES = 1_000_000
 # fixed values: signs for a missing value
 MISSING = ("", "-", "--", "–", "—", "n/a", "na", "n.a.", "n.a", "#n/a", "nan", "null", "none", "nil", "?", ".")
 SIDES = {"left": ("l", "lt", "left", "sinistra"), "right": ("r", "rt", "right", "dextra"), "bilateral": ("bl", "bil", "bilat", "both", "bilaterally", "bilateral")}
@@ -103,42 +104,41 @@ def region_spellings(region_ref: DataFrame) -> DataFrame:
 
 
 def best_matches(values: DataFrame, spellings: DataFrame, threshold: float) -> DataFrame:
-    """``values``: ``spelling`` (distinct); gives ``spelling, ref_id, likeness`` of the best entry at the threshold."""
+    """``values``: ``spelling`` (distinct); gives ``spelling, ref_id, likeness`` of the best entry at the threshold.
+
+    The values are spread once, by number, over the tasks; everything after that keeps their place, so the work on few
+    but costly values is not folded into one task.  The posted reference list is broadcast up to ``REFERENCE_ROWS``
+    spellings and joined by shuffle beyond; its token counts (pairs of characters in use) fit one row.
+    """
     spellings = spellings.where("spelling <> ''").distinct()
-    if spellings.limit(REFERENCE_ROWS + 1).count() > REFERENCE_ROWS:
-        raise ValueError("the reference list is larger than REFERENCE_ROWS spellings")
-    refs = spellings.withColumn("ref_set", pairs_of(F.col("spelling"))).withColumnRenamed("spelling", "ref_spelling")
-    rarity = refs.select(F.explode("ref_set").alias("token")).groupBy("token").agg(F.count("*").alias("df"))
-
-    def prefixes(df: DataFrame, key: list[str], tokens: str) -> DataFrame:
-        """One row per prefix token: ``key, n, token, place``; tokens in order of rarity, then of themselves."""
-        ordered = (
-            df.select(*key, F.explode(tokens).alias("token"))
-            .join(F.broadcast(rarity), "token", "left")
-            .groupBy(*key)
-            .agg(F.array_sort(F.collect_list(F.struct(F.coalesce("df", F.lit(0)).alias("df"), "token"))).alias("o"))
-            .withColumn("n", F.size("o"))
-        )
-        length = (F.col("n") - F.ceil(F.lit(threshold) * F.col("n") - 1e-9) + 1).cast("int")
-        # the whole set goes along, so the check needs neither another join nor the set again
-        every = F.transform("o", lambda x: x["token"])
-        return ordered.select(*key, "n", every.alias(tokens), F.posexplode(F.slice("o", 1, length)).alias("place", "x")).select(*key, "n", tokens, "place", "x.token")
-
-    left = prefixes(values.withColumn("set", pairs_of(F.col("spelling"))), ["spelling"], "set")
-    right = prefixes(refs, ["ref_id", "ref_spelling", "side", "exact"], "ref_set").withColumnsRenamed({"n": "m", "place": "ref_place"})
-    # positional filter: what can still agree behind the first shared token
+    refs = cut(spellings.withColumn("ref_set", pairs_of(F.col("spelling"))).withColumnRenamed("spelling", "ref_spelling"))
+    small = refs.limit(REFERENCE_ROWS + 1).count() <= REFERENCE_ROWS
+    counts = refs.select(F.explode("ref_set").alias("token")).groupBy("token").agg(F.count("*").alias("df"))
+    rarity = counts.agg(F.map_from_entries(F.collect_list(F.struct("token", "df"))).alias("rarity"))
+
+    def prefixes(df: DataFrame, tokens: str, n: str, place: str) -> DataFrame:
+        """One row per prefix token; tokens in order of rarity, then of themselves."""
+        rare = F.transform(tokens, lambda t: F.struct(F.coalesce(F.try_element_at("rarity", t), F.lit(0)).alias("df"), t.alias("token")))
+        ordered = df.join(F.broadcast(rarity)).withColumn(tokens, F.transform(F.array_sort(rare), lambda x: x["token"])).drop("rarity").withColumn(n, F.size(tokens))
+        length = (F.col(n) - F.ceil(F.lit(threshold) * F.col(n) - 1e-9) + 1).cast("int")
+        return ordered.select("*", F.posexplode(F.slice(tokens, 1, length)).alias(place, "token"))
+
+    tasks = int(values.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    sets = values.select("spelling").repartition(tasks, "spelling").withColumn("set", pairs_of(F.col("spelling")))
+    left = prefixes(sets, "set", "n", "place")
+    right = prefixes(refs, "ref_set", "m", "ref_place")
+    # positional filter at the first shared token: what can still agree behind it
     most = 1 + F.least(F.col("n") - F.col("place") - 1, F.col("m") - F.col("ref_place") - 1)
-    first = F.row_number().over(Window.partitionBy("spelling", "ref_id", "ref_spelling").orderBy("place"))
     met = (
-        left.join(F.broadcast(right), "token")
+        left.join(F.broadcast(right) if small else right, "token")
         .where((F.col("m") >= threshold * F.col("n")) & (F.col("n") >= threshold * F.col("m")))
-        .withColumn("nth", first)
-        .where("nth = 1")
-        .where(most / (F.col("n") + F.col("m") - most) >= threshold - 1e-9)
+        .groupBy("spelling", "ref_id", "ref_spelling", "side", "exact")
+        .agg(F.min_by(F.struct("set", "ref_set", "n", "m", most.alias("most")), "place").alias("x"))
+        .select("spelling", "ref_id", "side", "exact", "x.*")
+        .where(F.col("most") / (F.col("n") + F.col("m") - F.col("most")) >= threshold - 1e-9)
     )
     likeness = lambda x, y: F.size(F.array_intersect(x, y)) / F.greatest(F.size(F.array_union(x, y)), F.lit(1))
-    checked = met.withColumns({"likeness": likeness("set", "ref_set"), "__at": F.monotonically_increasing_id()})
-    checked = checked.where((F.col("likeness") >= threshold) & (~F.col("exact") | (F.col("likeness") == 1)) & (F.col("__at") >= 0))
+    checked = met.withColumn("likeness", likeness("set", "ref_set")).where((F.col("likeness") >= threshold) & (~F.col("exact") | (F.col("likeness") == 1)))
     side = pairs_of(F.col("side"))
     rest = F.when(F.col("side") == "", F.col("likeness")).otherwise(likeness(F.array_except("set", side), F.array_except("ref_set", side)))
     good = checked.withColumn("rest", rest).where(F.col("rest") >= threshold)
@@ -156,7 +156,9 @@ def found(subcaptions: DataFrame, modality_ref: DataFrame, region_ref: DataFrame
     ):
         typed = subcaptions.select("subfig_id", F.col(field).alias("typed")).where(F.col("typed").isNotNull())
         plain = F.lower(F.trim(F.regexp_replace("typed", r"[\s ]+", " ")))
-        typed = typed.where(~plain.isin(*MISSING)).join(F.broadcast(ref.select(F.col(name).alias("typed"))), "typed", "left_anti")
+        names = ref.select(F.col(name).alias("typed"))
+        names = F.broadcast(names) if names.limit(REFERENCE_NAMES + 1).count() <= REFERENCE_NAMES else names
+        typed = typed.where(~plain.isin(*MISSING)).join(names, "typed", "left_anti")
         different = cut(typed.select("typed").distinct().withColumn("spelling", spelled(F.col("typed"), sides)))
         best = best_matches(different.select("spelling").where("spelling <> ''").distinct(), spellings, THRESHOLDS[field])
         mapped = different.join(best, "spelling", "left").select("typed", "ref_id")
