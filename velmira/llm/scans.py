@@ -3,16 +3,19 @@
 Method: digits are masked to find running headers, lines are put together again with SQL windows, and misread
 characters are found by grouping words under a skeleton of confusable glyphs and choosing the frequent form.
 
-* Page numbers: lines that hold nothing but a number in one of the usual dresses.
+* Page numbers: lines that hold nothing but a number in one of the usual dresses, and headers that begin or end with a
+  number which isn't a volume's or a year.
 * Headers: a line in title or upper case whose *core* (digits masked, dress such as "Vol. 12" or "CASE REPORT" taken off)
-  stands in a dress at least ``DRESSED`` times in the collection.
+  stands in a dress in at least ``DRESSED_SHARE`` of the texts of several lines, and twice or more.
 * Hyphens: among the lines that are left, one that ends in a letter and a hyphen before a line that goes on in lower
   case; the two halves are joined.
-* Characters: all words of the collection are counted; under one skeleton, a form that is ``RATIO`` times rarer than the
-  prevailing one is a misreading of it.  A true word that looks like a more frequent one is far less rare than that.
+* Characters: all words of the collection are counted; under one skeleton, a form ``RATIO`` times rarer than the
+  prevailing one may be a misreading of it, and is one if the context supports that: in ``SUPPORT`` of its places the word
+  before it, or the one behind it, stands by the prevailing form ``PLACE_RATIO`` times as often.  All of these are ratios,
+  so the result doesn't change when the collection is doubled.
 
 Edge cases: null, empty and blank texts carry no trace and come out as they are; a text without line ends can only
-carry misread characters; repeated rows are treated each; empty tables give empty tables; texts of any length are
+carry misread characters; repeated rows count once, rows of one id are told apart by their text; empty tables give empty tables; texts of any length are
 read whole.  The list of misread forms is broadcast only up to ``BROADCAST_FORMS`` rows, beyond it is joined by shuffle.
 """
 
@@ -24,8 +27,10 @@ from pyspark.sql import functions as F
 from velmira.session import cut
 
 DRESSED = 2
-RATIO = 60  # of a form seen several times; a form seen once may be one of ONCE
-ONCE = 8
+DRESSED_SHARE = 0.001
+RATIO = 8
+SUPPORT = 0.5
+PLACE_RATIO = 3
 BROADCAST_FORMS = 200_000
 _HYPHENS = "-\u00ad\u2010\u2011\u00ac"
 _PAGE = r"^\s*(?:\[\s*\d{1,5}\s*\]|\(\s*\d{1,5}\s*\)|[-–—~]\s*\d{1,5}\s*[-–—~]|(?i:page|pg\.?|p\.|s\.)\s*\d{1,5}(?:\s*(?:of|/|von)\s*\d{1,5})?|\d{1,5}(?:\s*/\s*\d{1,5})?)\s*$"
@@ -56,53 +61,84 @@ def texts_of(patients: DataFrame, evidence: DataFrame) -> DataFrame:
 
 
 def marked_lines(texts: DataFrame) -> DataFrame:
-    """``field, row_id, pos, line, pageno, header`` of the texts of more than one line."""
-    lines = texts.where(F.col("text").rlike(r"[\r\n]")).select("field", "row_id", F.posexplode(F.split("text", r"\r\n|\r|\n")).alias("pos", "line")).where(F.col("line").rlike(r"\S"))
+    """``field, row_id, text_key, pos, line, pageno, header`` of the texts of more than one line."""
+    several = texts.where(F.col("text").rlike(r"[\r\n]")).groupBy("field", "row_id", F.xxhash64("text").alias("text_key")).agg(F.first("text").alias("text"))
+    lines = several.select("field", "row_id", "text_key", F.posexplode(F.split("text", r"\r\n|\r|\n")).alias("pos", "line"))
+    lines = lines.withColumn("first", F.col("pos") == 0).where(F.col("line").rlike(r"\S") | F.col("first"))
     page = F.col("line").rlike(_PAGE)
     masked = F.regexp_replace(F.trim("line"), r"\d+", "#")
-    titled = ~page & masked.rlike(_TITLE) & (F.regexp_count(masked, F.lit(r"\p{Lu}")) >= 2)
+    titled = ~page & F.col("line").rlike(r"\S") & masked.rlike(_TITLE) & (F.regexp_count(masked, F.lit(r"\p{Lu}")) >= 2)
     core = F.trim(F.regexp_replace(F.lower(F.regexp_replace(masked, _DRESS, " ")), r"\s+", " "))
     dressed = masked.rlike(r"#|\||·|—|(?i:\bcase report\b|\boriginal article\b)") | (masked == F.upper(masked))
     lines = lines.withColumns({"pageno": page, "core": F.when(titled & (core != ""), core), "dressed": dressed})
-    cores = lines.where("core is not null and dressed").groupBy("core").agg(F.count("*").alias("n")).where(F.col("n") >= DRESSED)
+    least = lines.where("first").agg(F.greatest(F.lit(float(DRESSED)), F.count("*") * DRESSED_SHARE).alias("least"))
+    cores = lines.where("core is not null and dressed").groupBy("core").agg(F.count("*").alias("n")).join(F.broadcast(least)).where("n >= least")
     # a core of one word is a name or a label, not a header
     cores = cores.where(F.size(F.split("core", " ")) >= 2).select("core", F.lit(True).alias("header"))
-    return lines.join(cores, "core", "left").select("field", "row_id", "pos", "line", "pageno", F.coalesce("header", F.lit(False)).alias("header"))
+    cores = _joinable(cores)
+    # a number at either end of a header is a page's, unless it is a volume's or a year
+    bare = F.regexp_replace("line", r"(?i)\b(?:vol(?:ume)?|no|issue)\b\.?\s*\d+\s*$|\b(?:19|20)\d\d\b", " ")
+    numbered = bare.rlike(r"^\W*\d{1,5}\b|\b\d{1,5}\W*$")
+    header = F.coalesce("header", F.lit(False))
+    return lines.join(cores, "core", "left").select("field", "row_id", "text_key", "pos", "line", (F.col("pageno") | (header & numbered)).alias("pageno"), header.alias("header"))
 
 
 def reflowed(marked: DataFrame) -> DataFrame:
-    """``field, row_id, text, hyphen, header, pageno``: one row per text of more than one line, in one piece."""
-    text = Window.partitionBy("field", "row_id").orderBy("pos")
-    kept = marked.where("not header and not pageno").withColumn("after", F.lead("line").over(text))
+    """``field, row_id, text_key, text, hyphen, header, pageno``: one row per text of more than one line, in one piece."""
+    key = ["field", "row_id", "text_key"]
+    text = Window.partitionBy(*key).orderBy("pos")
+    kept = marked.where(F.col("line").rlike(r"\S") & ~F.col("header") & ~F.col("pageno")).withColumn("after", F.lead("line").over(text))
     broken = F.rtrim("line").rlike(rf"\p{{L}}[{_HYPHENS}]$") & F.ltrim(F.coalesce("after", F.lit(""))).rlike(r"^\p{Ll}")
     kept = kept.withColumn("broken", broken)
-    own = F.rtrim("line").rlike(r"(?i)\b(?:drug|non|super|[a-z]\d)-$")  # the hyphen of a compound stays
+    own = F.rtrim("line").rlike(r"(?i)\b(?:drug|non|[a-z]\d)-$")  # the hyphen of a compound stays
     piece = F.when(F.col("broken") & ~own, F.regexp_replace(F.rtrim("line"), rf"[{_HYPHENS}]$", "")).when(F.col("broken"), F.rtrim("line")).otherwise(F.concat(F.trim("line"), F.lit(" ")))
-    joined = kept.select("field", "row_id", "pos", "broken", F.ltrim(piece).alias("piece")).groupBy("field", "row_id").agg(
+    joined = kept.select(*key, "pos", "broken", F.ltrim(piece).alias("piece")).groupBy(*key).agg(
         F.array_sort(F.collect_list(F.struct("pos", "piece"))).alias("p"), F.bool_or("broken").alias("hyphen")
     )
-    flags = marked.groupBy("field", "row_id").agg(F.bool_or("header").alias("header"), F.bool_or("pageno").alias("pageno"))
-    out = flags.join(joined, ["field", "row_id"], "left")
-    return out.select("field", "row_id", F.trim(F.array_join(F.transform("p", lambda x: x["piece"]), "")).alias("text"), F.coalesce("hyphen", F.lit(False)).alias("hyphen"), "header", "pageno")
+    flags = marked.groupBy(*key).agg(F.bool_or("header").alias("header"), F.bool_or("pageno").alias("pageno"))
+    out = flags.join(joined, key, "left")
+    return out.select(*key, F.trim(F.array_join(F.transform("p", lambda x: x["piece"]), "")).alias("text"), F.coalesce("hyphen", F.lit(False)).alias("hyphen"), "header", "pageno")
+
+
+_BRACKET = r"(?<=\p{L})\((?=\p{L}|\s+\p{Ll})"  # a bracket that a word runs into, or that ends one before a plain word
 
 
 def _words(text: Column) -> Column:
     plain = F.regexp_replace(F.lower(text), r"!(?=\s|$|[.,;:)\"”])", " ")
-    return F.regexp_extract_all(F.regexp_replace(plain, r"(?<=\p{L})\((?=\p{L})", "¢"), F.lit(_WORD), F.lit(0))
+    return F.regexp_extract_all(F.regexp_replace(plain, _BRACKET, "¢"), F.lit(_WORD), F.lit(0))
 
 
-def misread_forms(texts: DataFrame) -> DataFrame:
-    """``form, right``: words of the collection that are misreadings of a frequent one."""
+def rival_forms(texts: DataFrame) -> DataFrame:
+    """``form, right``: words of the collection and the much more frequent form of the same skeleton."""
     forms = texts.select(F.explode(_words(F.col("text"))).alias("form")).groupBy("form").agg(F.count("*").alias("n"))
     forms = forms.where(F.length("form") >= 3).withColumn("skeleton", F.explode(skeletons(F.col("form"))))
     group = Window.partitionBy("skeleton")
     ranked = forms.withColumn("best", F.max(F.struct("n", F.col("form").rlike(r"^[a-z]+$").alias("plain"), "form")).over(group))
-    wrong = (F.col("form") != F.col("best.form")) & (F.col("best.n") >= F.when(F.col("n") == 1, ONCE).otherwise(RATIO) * F.col("n"))
+    wrong = (F.col("form") != F.col("best.form")) & (F.col("best.n") >= RATIO * F.col("n"))
     # codes such as t1w or fp2 have letters and digits by right; the prevailing form must be a plain word
     found = ranked.where(wrong & F.col("best.form").rlike(r"^\p{L}+$"))
     return found.groupBy("form").agg(F.max_by("best.form", F.struct("best.n", "best.form")).alias("right"))
 
 
+def misread_forms(texts: DataFrame) -> DataFrame:
+    """``form, right``: the rival forms whose places speak for the prevailing form."""
+    rivals = cut(rival_forms(texts))
+    watched = rivals.select(F.col("form").alias("word"), "right").unionByName(rivals.select(F.col("right").alias("word"), "right").distinct())
+    placed = F.transform("w", lambda x, i: F.struct(x.alias("word"), F.coalesce(F.get("w", i - 1), F.lit("")).alias("before"), F.coalesce(F.get("w", i + 1), F.lit("")).alias("after")))
+    places = texts.select(_words(F.col("text")).alias("w")).select(F.inline(placed)).join(_joinable(watched), "word")
+    places = cut(places.groupBy("word", "right", "before", "after").agg(F.count("*").alias("n")))
+    # the prevailing form has to be usual in the very place, not only somewhere: before a word or behind one it stands
+    # PLACE_RATIO times as often as the odd form does
+    odd = places.where("word <> right")
+    for side in ("before", "after"):
+        at = places.where(f"{side} <> ''").groupBy("right", side, "word").agg(F.sum("n").alias("m"))
+        usual = at.where("word = right").select("right", side, F.col("m").alias("usual"))
+        fits = at.where("word <> right").join(usual, ["right", side]).where(F.col("usual") >= PLACE_RATIO * F.col("m"))
+        odd = odd.join(fits.select("word", "right", side, F.lit(True).alias(f"fits_{side}")), ["word", "right", side], "left")
+    supported = F.sum(F.when(F.col("fits_before").isNotNull() | F.col("fits_after").isNotNull(), F.col("n")).otherwise(0))
+    return odd.groupBy(F.col("word").alias("form"), "right").agg((supported / F.sum("n")).alias("support")).where(F.col("support") >= SUPPORT).select("form", "right")
+
+
 def _joinable(forms: DataFrame) -> DataFrame:
     forms = cut(forms)
     return F.broadcast(forms) if forms.count() <= BROADCAST_FORMS else forms
@@ -119,7 +155,7 @@ def traces(patients: DataFrame, evidence: DataFrame) -> DataFrame:
     chars = words.join(wrong, "form").select("field", "row_id").distinct().withColumn("kind", F.lit("chars"))
     kinds = F.filter(F.array(*(F.when(F.col(k), F.lit(k)) for k in ("hyphen", "header", "pageno"))), lambda k: k.isNotNull())
     lines = flowed.select("field", "row_id", F.explode(kinds).alias("kind"))
-    return lines.unionByName(chars)
+    return lines.unionByName(chars).distinct()
 
 
 def repaired(patients: DataFrame, evidence: DataFrame) -> DataFrame:
@@ -128,10 +164,10 @@ def repaired(patients: DataFrame, evidence: DataFrame) -> DataFrame:
     texts = texts_of(patients, evidence)
     flowed = cut(reflowed(marked_lines(texts)))
     single = texts.where(~F.col("text").rlike(r"[\r\n]"))
-    whole = single.select("field", "row_id", "text").unionByName(flowed.select("field", "row_id", F.coalesce("text", F.lit("")).alias("text")))
+    whole = single.select("field", "row_id", F.xxhash64("text").alias("text_key"), "text").unionByName(flowed.select("field", "row_id", "text_key", F.coalesce("text", F.lit("")).alias("text")))
     wrong = _joinable(misread_forms(whole))
-    words = whole.select("field", "row_id", F.explode(F.array_distinct(_words(F.col("text")))).alias("form")).where(F.length("form") >= 3)
-    fixes = words.join(wrong, "form").groupBy("field", "row_id").agg(F.map_from_entries(F.collect_list(F.struct("form", "right"))).alias("fixes"))
+    words = whole.select("field", "row_id", "text_key", F.explode(F.array_distinct(_words(F.col("text")))).alias("form")).where(F.length("form") >= 3)
+    fixes = words.join(wrong, "form").groupBy("field", "row_id", "text_key").agg(F.map_from_entries(F.collect_set(F.struct("form", "right"))).alias("fixes"))
     border = r"(?<=[\p{L}0-9!|¢])(?![\p{L}0-9!|¢])|(?<![\p{L}0-9!|¢])(?=[\p{L}0-9!|¢])"
 
     def right(word: Column) -> Column:
@@ -139,5 +175,5 @@ def repaired(patients: DataFrame, evidence: DataFrame) -> DataFrame:
         capital = F.concat(F.upper(F.substring(known, 1, 1)), F.substr(known, F.lit(2)))
         return F.coalesce(F.when(word.rlike(r"^\p{Lu}"), capital).otherwise(known), word)
 
-    fixed = F.array_join(F.transform(F.split(F.regexp_replace("text", r"(?<=\p{L})\((?=\p{L})", "¢"), border), right), "")
-    return whole.join(fixes, ["field", "row_id"], "left").select("field", "row_id", F.when(F.col("fixes").isNull(), F.col("text")).otherwise(fixed).alias("text"))
+    fixed = F.array_join(F.transform(F.split(F.regexp_replace("text", _BRACKET, "¢"), border), right), "")
+    return whole.join(fixes, ["field", "row_id", "text_key"], "left").select("field", "row_id", F.when(F.col("fixes").isNull(), F.col("text")).otherwise(fixed).alias("text"))
