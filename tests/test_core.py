@@ -32,11 +32,27 @@ def test_ages_empty(spark):
 def test_viterbi_follows_the_level():
     import numpy as np
 
-    values = np.log(np.array([10, 11, 10, 132, 126, 11.0]))
-    none = np.full(6, -1)
-    state = units.viterbi(values, np.array([0, -1, -1, -1, -1, -1]), convention=0)
-    assert list(state) == [0, 0, 0, 1, 1, 0]
-    assert list(units.viterbi(values, none)) == [0] * 6
+    model = units.Model(np.log(np.array([0.4, 0.4, 0.1, 0.05, 0.05])), np.array([2.0] * 5), np.array([1.5] * 5), 0.9, 0.3)
+    values, first = np.array([10, 11, 10, 132, 126, 11.0]), np.array([0, -1, -1, -1, -1, -1])
+    assert list(units.viterbi(values, first, model)) == [0, 0, 0, 1, 1, 0]
+    assert list(units.viterbi(values, first, model, convention=400)) == [0] * 6
+    assert list(units.viterbi(np.array([9.0]), np.array([3]), model, convention=400)) == [3]
+
+
+def test_hidden_units_are_found_where_devices_keep_theirs(spark):
+    import random
+
+    r, rows = random.Random(8), []
+    for i in range(1500):
+        device, month = i % 30, (i % 30) % 2
+        number = round((8 + device % 5) * (12 if month else 1) * (1 + 0.2 * r.random()))
+        rows.append((i, f"{number} months" if month else f"{number} years", None, f"PMC90000{device:05d}"))
+    df = spark.createDataFrame(rows, "record_id long, age string, demographics_notes string, pmc_id string")
+    out = units.recovery(df).collect()
+    hidden, found, year = (sum(r[c] for r in out) for c in ("n_hidden", "n_found", "n_year"))
+    assert hidden > 200 and found >= 0.97 * hidden and year < 0.6 * hidden
+    assert {r.record_id: r.unit for r in units.decoded_units(df).collect()} == {i: "month" if (i % 30) % 2 else "year" for i in range(1500)}
+    assert units.recovery(df.where("false")).count() == 0 and units.decoded_units(df.where("false")).count() == 0
 
 
 def paths(spark, values):

@@ -66,6 +66,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     patients = lambda s, d: table(s, d, "patients")
     out: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         "p2_found": lambda s, d: units.ages_in_days(patients(s, d)),
+        "p2_units": lambda s, d: units.decoded_units(patients(s, d)),
+        "p2_recovery": lambda s, d: units.recovery(patients(s, d)),
         "p3_found": lambda s, d: unpack.unpacked(patients(s, d)),
         "p3_delimiters": lambda s, d: unpack.infer_delimiters(unpack.packed_values(patients(s, d), "record_id", unpack.FIELDS, "source")),
         "q01_tier_assign": lambda s, d: patients(s, d).select("record_id", rules.tier().alias("assigned")),
