@@ -54,7 +54,7 @@ def _record(uid: str) -> Column:
     return F.expr(f"{uid} div {len(FIELDS)}")
 
 
-def _marked(patients: DataFrame, manifest: DataFrame) -> DataFrame:
+def marked_texts(patients: DataFrame, manifest: DataFrame) -> DataFrame:
     """``uid, body, salt, side`` of the texts of records that have a fold: 1 train, 2 another one, 3 both."""
     return _texts(patients.select("record_id", *FIELDS).join(sides_of(manifest).withColumnRenamed("record", "record_id"), "record_id"), "side")
 
@@ -62,7 +62,7 @@ def _marked(patients: DataFrame, manifest: DataFrame) -> DataFrame:
 def text_links(patients: DataFrame, manifest: DataFrame, likeness: float = LIKENESS) -> tuple[DataFrame, DataFrame | None]:
     """(``a, b, likeness``: like texts across the split by uid; ``uid, member``: rows of the texts that stand in many
     rows, which are searched as their first row only, or None if there is no such text)."""
-    raw, marked = _texts(patients), _marked(patients, manifest)
+    raw, marked = _texts(patients), marked_texts(patients, manifest)
     many, n_many = copied_texts(raw)
     members = None
     if n_many:

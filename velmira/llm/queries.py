@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from velmira.llm import bpe, canon, groupsplit, mixture, neardup, overlap, quality, scans
+from velmira.llm import bpe, canon, chunks, groupsplit, mixture, neardup, overlap, quality, scans
 from velmira.session import table
 
 
@@ -14,6 +14,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "p1_found": lambda s, d: overlap.found(table(s, d, "patients"), table(s, d, "split_manifest")),
         "p1_report": lambda s, d: overlap.report(table(s, d, "patients"), table(s, d, "split_manifest")),
+        "p1_overlap": lambda s, d: chunks.fractions(table(s, d, "patients"), table(s, d, "split_manifest")),
+        "p1_overlap_report": lambda s, d: chunks.report(table(s, d, "patients"), table(s, d, "split_manifest")),
         "p4_found": lambda s, d: neardup.found(table(s, d, "patients")),
         "p5_found": lambda s, d: canon.found(table(s, d, "subcaptions"), table(s, d, "modality_ref"), table(s, d, "region_ref")),
         "p6_found": lambda s, d: scans.traces(table(s, d, "patients"), table(s, d, "task_evidence")),
