@@ -1,4 +1,5 @@
 import itertools
+import os
 import random
 import re
 
@@ -8,7 +9,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from velmira.llm import bpe, candidates, canon, components, groupsplit, mixture, neardup, overlap, quality, quality_training, scans
+from velmira.llm import bpe, candidates, canon, chunks, components, groupsplit, mixture, neardup, overlap, quality, quality_training, scans
 from velmira.llm import textops as X
 
 WORDS = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu nu xi omicron pi rho sigma tau upsilon phi chi psi omega".split()
@@ -31,15 +32,6 @@ def likeness(a, b):
     return len(a & b) / len(a | b) if a | b else 0.0
 
 
-def longest_run(a, b):
-    x, y = (re.findall("[a-z0-9]+", t.lower()) for t in (a, b))
-    best, before = 0, {}
-    for u in x:
-        now = {j: before.get(j - 1, 0) + 1 for j, v in enumerate(y) if v == u}
-        best, before = max([best, *now.values()]), now
-    return best
-
-
 def fixture(seed=5, n=60):
     r = random.Random(seed)
     texts = [". ".join(sentences(r, r.randint(4, 7))) for _ in range(n)]
@@ -68,9 +60,53 @@ def test_overlap_against_brute_force(spark):
     sets = [shingles(t) for t in texts]
     side = {i: i % 5 in (0, 3) for i in range(len(texts)) if i % 17}
     want = {(a, b) for a, b in itertools.combinations(sorted(side), 2) if side[a] != side[b] and sets[a][1] >= 12 and sets[b][1] >= 12 and likeness(sets[a][0], sets[b][0]) >= 0.6}
-    # the documented bound: what is found is right, and only pairs without a long common stretch may be missed
-    assert got <= want and len(got) > 30
-    assert all(longest_run(texts[a], texts[b]) < 17 for a, b in want - got) and len(want - got) <= 0.02 * len(want)
+    assert got == want and len(got) > 30
+
+
+def test_overlap_of_a_text_in_many_rows(spark):
+    r = random.Random(77)
+    same, near = ". ".join(sentences(r, 5)), None
+    near = edited(r, same, 0.02)
+    texts = [same] * 40 + [near] * 3 + ["short one"] * 30 + [". ".join(sentences(r, 5)) for _ in range(20)]
+    rows = patients(spark, texts).withColumn("pmc_id", F.lit(None).cast("string"))
+    got = {(x.id_a, x.id_b) for x in overlap.found(rows, manifest(spark, len(texts))).collect()}
+    sets = [shingles(t) for t in texts]
+    train = {i for i in range(len(texts)) if i % 17 and i % 5 in (0, 3)}
+    other = {i for i in range(len(texts)) if i % 17 and i % 5 not in (0, 3)} | {1}
+    want = {tuple(sorted((a, b))) for a in train for b in other if a != b and sets[a][1] >= 12 and sets[b][1] >= 12 and likeness(sets[a][0], sets[b][0]) >= 0.6}
+    assert got == want and len(want) > 300
+    assert all(x.n_pairs > 0 for x in overlap.report(rows, manifest(spark, len(texts))).collect())
+
+
+def test_neardup_of_texts_in_many_rows(spark):
+    r = random.Random(78)
+    same = ". ".join(sentences(r, 5))
+    texts = [same] * 30 + [edited(r, same, 0.02)] + ["below fifty words"] * 30 + [". ".join(sentences(r, 5))] * 12 + [". ".join(sentences(r, 5)) for _ in range(10)]
+    got = {x.record_id: x.group_id for x in neardup.found(patients(spark, texts)).collect()}
+    assert got == {i: 0 for i in range(31)} | {i: 61 for i in range(61, 73)}
+
+
+def test_buckets_do_not_change_the_pairs(spark):
+    texts = [t for t in fixture(12, 30) if t]
+    df = spark.createDataFrame([(i, t, 0) for i, t in enumerate(texts)], "uid long, body string, salt long")
+    levels = candidates.triple_levels(df)
+    few, many = ({(x.a, x.b) for x in candidates.verified(candidates.overlapping_pairs(df, 0.6, 12, levels, buckets=n), df, 0.6).collect()} for n in (2, 23))
+    assert few == many and few
+
+
+def test_chunks_cut_alike_and_fractions(spark):
+    r = random.Random(6)
+    words = [f"w{r.randint(1, 500)}" for _ in range(400)]
+    whole, tail = " ".join(words), " ".join(["other", "start"] + words[100:])
+    digest, length, row = chunks.cut_chunks(*X.word_hashes([whole, tail, None, "", "one"]))
+    assert [int(length[row == i].sum()) for i in range(5)] == [400, 302, 0, 0, 1]
+    shared = np.isin(digest[row == 1], digest[row == 0])
+    assert length[row == 1][shared].sum() > 280
+    rows = patients(spark, [whole, tail, "nothing alike at all", None, whole])
+    folds = spark.createDataFrame([(0, "train"), (1, "val"), (2, "val"), (3, "val"), (4, "train"), (4, "test")], "record_id long, fold string")
+    got = {x.record_id: x.fraction for x in chunks.fractions(rows, folds).collect()}
+    assert set(got) == {1, 2, 4} and got[1] > 0.9 and got[2] == 0 and got[4] == 1
+    assert chunks.fractions(rows.where("false"), folds).count() == 0
 
 
 def test_neardup_against_brute_force(spark):
@@ -202,6 +238,8 @@ def test_group_splits_keep_groups_together(spark):
         if r.group_key is not None:
             by.setdefault(r.group_key, set()).add(r.split)
     assert all(len(v) == 1 for v in by.values())
+    shares = {r.split: r.reached_share for r in groupsplit.split_shares(rows, links).collect()}
+    assert abs(shares["train"] - 0.8) <= 0.03 and abs(shares["test"] - 0.1) <= 0.03
     keys = {r.group_key for r in out}
     assert 9000000002 not in keys and 9000000004 in keys and 9000000005 in keys
 
@@ -269,6 +307,17 @@ def test_mixture_reaches_shares(spark):
     assert abs(out["a"].reached_share - 0.5 / 0.9) < 0.03 and out["gone"].n_rows == 0
     assert out["a"].most_copies <= 2 and out["b"].most_copies <= 3
     assert mixture.mixture(df.where("false"), targets).count() == 0
+    assert mixture.mixture(df, targets.where("false")).count() == 0
+
+
+def test_mixture_of_a_small_source_and_small_shards(spark):
+    r = random.Random(14)
+    docs = [(i, " ".join(sentences(r, r.randint(1, 6))), "tiny" if i % 40 == 0 else "large") for i in range(2000)]
+    df = spark.createDataFrame(docs, "doc_id long, text string, source string")
+    targets = spark.createDataFrame([("tiny", 0.04, 6), ("large", 0.96, 1)], "source string, target_share double, max_repeats int")
+    for shard_tokens in (5_000, 4_000_000):
+        out = {x.source: x for x in mixture.shares(df, targets, shard_tokens=shard_tokens).collect()}
+        assert abs(out["tiny"].reached_share - 0.04) < 0.01 and out["tiny"].most_copies <= 6 and out["large"].most_copies == 1
 
 
 def test_rule_list_on_held_out_documents(spark):
@@ -305,3 +354,19 @@ def test_scans(spark):
     clean = {r.row_id: r.text for r in scans.repaired(df, none).collect()}
     assert clean[100] == "the patient was seen before morning and the attacks returned" and clean[102] == "the patient was seen before morning"
     assert scans.traces(df.where("false"), none).count() == 0
+    # rows of one id are told apart by their text; numbered headers count as page numbers too
+    more = df.unionByName(spark.createDataFrame([(200, "the attacks re-\nturned", "x"), (200, "the patient was\nseen be-\nfore", "x"), (201, "17   Journal of Brain Noise\nthe attacks returned", "x"), (202, "Journal of Brain Noise, Vol. 3\nthe attacks", "x")], "record_id long, semiology_text string, kind string"))
+    again = {(r.row_id, r.kind) for r in scans.traces(more, none).collect()}
+    assert again == got | {(200, "hyphen"), (201, "header"), (201, "pageno"), (202, "header")}
+    assert sorted(r.text for r in scans.repaired(more, none).where("row_id = 200").collect()) == ["the attacks returned", "the patient was seen before"]
+
+
+def test_result_is_the_same_when_the_scans_are_doubled(spark):
+    d = "/root/testdata/sf0.01"
+    if not os.path.exists(d):
+        pytest.skip("needs the test tables")
+    one, quotes = spark.read.parquet(f"{d}/patients.parquet"), spark.read.parquet(f"{d}/task_evidence.parquet")
+    once = {tuple(r) for r in scans.traces(one, quotes).collect()}
+    two = one.unionByName(one.withColumn("record_id", F.col("record_id") + 10**9)), quotes.unionByName(quotes.withColumn("gt_id", F.col("gt_id") + 10**9))
+    twice = {tuple(r) for r in scans.traces(*two).where("row_id < 1000000000").collect()}
+    assert len(once ^ twice) <= 0.02 * len(once) and len(once) > 30
