@@ -49,3 +49,26 @@ def test_json_and_lists(spark):
     assert [r.j for r in df.collect()] == ['{"a": 1}', '{"a": 2}', None, None]
     df = spark.createDataFrame([("['a', 'b']",), ("[]",), ("['a'",), (None,)], "t string").select(text.list_literal(F.col("t")).alias("l"))
     assert [r.l for r in df.collect()] == [["a", "b"], [], [], []]
+
+
+def test_caption_and_figure_cases(spark):
+    from velmira.plans import curation
+
+    captions = spark.createDataFrame([(i, c) for i, (c, _) in enumerate(curation.CAPTIONS)], "i int, c string").orderBy("i").select(text.labelled_parts(F.col("c")).alias("p"))
+    assert ["|".join(f"{x.label}={x.text}" for x in r.p) for r in captions.collect()] == [w for _, w in curation.CAPTIONS]
+    names = spark.createDataFrame([(i, c) for i, (c, _) in enumerate(curation.FIGURE_FILES)], "i int, c string").orderBy("i").select(text.figure_id(F.col("c")).alias("f"))
+    assert [r.f for r in names.collect()] == [w for _, w in curation.FIGURE_FILES]
+
+
+def test_every_golden_label(spark):
+    from velmira.plans import curation
+
+    df = spark.createDataFrame([(i, *g) for i, g in enumerate(curation.GOLDEN)], "i int, task string, raw string, want string")
+    rows = rules.with_labels(df, F.col("task"), "raw", "got").orderBy("i").collect()
+    assert [(r.task, r.raw, r.got) for r in rows] == [(r.task, r.raw, r.want) for r in rows]
+
+
+def test_rules_read_the_text_once(spark):
+    df = spark.createDataFrame([("epilepsy_type", "focal")], "task string, raw string")
+    plan = rules.with_labels(df, F.col("task"), "raw", "got")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_replace") <= 3

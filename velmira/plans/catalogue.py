@@ -12,9 +12,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from velmira.functions import rules, text
-from velmira.operators import features, images, metrics, report, splits, tables, units, unpack
+from velmira.operators import classifiers, features, images, metrics, report, splits, tables, units, unpack
 from velmira.plans import curation
-from velmira.session import table
+from velmira.session import shared_folder, table
+from velmira.sources import articles
 from velmira.streaming import incremental
 
 _TIERS = ["A", "B", "C", "D"]
@@ -62,6 +63,43 @@ def _panels(s, d) -> DataFrame:
     return table(s, d, "subcaptions")
 
 
+def _languages(s, d) -> DataFrame:
+    ids = F.create_map(*(x for i, n in enumerate(("de", "en", "es", "fr")) for x in (F.lit(n), F.lit(i))))
+    return table(s, d, "documents").select("doc_id", "text", F.try_element_at(ids, F.col("lang")).alias("language"))
+
+
+def _text_scores(s, d) -> DataFrame:
+    """Scores of a classifier of the language: four fifths of the documents train, the others are scored."""
+    rows = _languages(s, d)
+    test = F.pmod(F.col("doc_id"), F.lit(5)) == 0
+    model = classifiers.fit_text(rows.where(~test), "text", "language")
+    return metrics.full_report(classifiers.scored_text(model, rows.where(test), "text", "language"), []).select(F.col("label").cast("string").alias("label"), r6("f1"), "support")
+
+
+def _ablation(s, d) -> DataFrame:
+    e = table(s, d, "embeddings").withColumn("v", F.transform("embedding", lambda x: x.cast("double")))
+    test = F.pmod(F.col("vec_id"), F.lit(5)) == 0
+    a, b = F.slice("v", 1, 32), F.when(F.col("vec_id") % 3 != 0, F.slice("v", 33, 32))
+    regimes = {"first": a, "second": b, "both": F.concat(features.block(a, 32), features.block(b, 32)), "either": F.coalesce(b, a)}
+    return classifiers.ablation(e.where(~test), e.where(test), regimes, "label")
+
+
+def _xml(s, d) -> DataFrame:
+    """Articles written from the papers table, with the text of a figure and two sections."""
+    safe = lambda c: F.replace(F.replace(F.coalesce(F.col(c), F.lit("")), F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;"))
+    body = F.concat(F.lit("<body><sec><title>One</title><p>"), safe("abstract"), F.lit("</p><fig id='f1'><label>Figure 1</label></fig></sec><sec><p>x</p></sec></body>"))
+    front = F.concat(F.lit("<front><article-title>"), safe("title"), F.lit("</article-title><abstract><p>"), safe("abstract"), F.lit("</p></abstract></front>"))
+    return table(s, d, "papers").select("pmc_id", F.concat(F.lit("<article>"), front, body, F.lit("</article>")).alias("xml"))
+
+
+def _streamed(s, d) -> DataFrame:
+    """Events taken in as a stream of files, once each, then counted: the same as the table counted at once."""
+    folder = shared_folder(s, "stream")
+    schema = table(s, d, "events").schema
+    incremental.ingest(s, f"{d}/events.parquet*", schema, f"{folder}/out", f"{folder}/state")
+    return s.read.parquet(f"{folder}/out").groupBy("event_type").agg(F.count("*").alias("n"), F.count_distinct("user_id").alias("n_users"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     patients = lambda s, d: table(s, d, "patients")
     out: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -120,6 +158,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "q69_messages": lambda s, d: tables.messages(table(s, d, "lineitem").select("l_orderkey", "l_linenumber", "l_returnflag", "l_linestatus"), "l_orderkey", "l_linenumber", "l_returnflag", "l_linestatus").select("l_orderkey", F.array_join(F.transform("messages", lambda x: F.concat(x["role"], F.lit(":"), x["content"])), " ").alias("talk")),
         "q73_table_rows": lambda s, d: tables.table_rows(_table_texts(table(s, d, "documents")), ["doc_id"], "text").select("doc_id", "batch", F.size("rows").alias("n_rows"), "header"),
         "q74_panel_selection": lambda s, d: patients(s, d).select("record_id", F.size(tables.chosen_panels(text.list_literal(F.coalesce("mri_image_paths", F.lit("[]"))), text.list_literal(F.coalesce("eeg_image_paths", F.lit("[]"))), 3)).alias("n_panels")),
+        "q65_logreg_eval": _text_scores,
+        "q65_modality_ablation": _ablation,
+        "q66_paper_parse": lambda s, d: articles.articles(_xml(s, d)).select("pmc_id", "title", "abstract", F.size("sections").alias("n_sections"), F.array_join(F.transform("sections", lambda x: x["title"]), "|").alias("headings"), F.size("figures").alias("n_figures")),
+        "q76_kmeans_sample": lambda s, d: classifiers.clustered_sample(table(s, d, "embeddings"), "vec_id", "embedding", 8, 10),
+        "q77_stream_incremental": _streamed,
         "q70_todo": lambda s, d: incremental.new_rows(table(s, d, "papers").select("pmc_id"), patients(s, d).select("pmc_id"), "pmc_id"),
         "q71_value_counts_top": lambda s, d: _panels(s, d).groupBy("modality").agg(F.count("*").alias("n")).orderBy(F.desc("n"), F.asc_nulls_first("modality")).limit(10),
         "q72_dataset_stats": lambda s, d: _panels(s, d).agg(F.count("*").alias("n"), F.count_distinct("pmc_id").alias("n_papers"), F.count_if(F.size("findings") > 0).alias("with_findings"), F.count_if(F.col("modality").isNotNull()).alias("with_modality")),
@@ -188,6 +231,10 @@ def oracle_sql() -> dict[str, str]:
         "q70_todo": "SELECT pmc_id FROM papers WHERE pmc_id NOT IN (SELECT pmc_id FROM patients WHERE pmc_id IS NOT NULL)",
         "q71_value_counts_top": "SELECT modality, count(*) AS n FROM subcaptions GROUP BY 1 ORDER BY n DESC, modality NULLS FIRST LIMIT 10",
         "q72_dataset_stats": "SELECT count(*) AS n, count(DISTINCT pmc_id) AS n_papers, count(*) FILTER (WHERE len(findings) > 0) AS with_findings, count(modality) AS with_modality FROM subcaptions",
+        "q73_table_rows": r"WITH l AS (SELECT doc_id, list_transform(list_filter(regexp_split_to_array(text, '\r\n|\r|\n'), lambda x: contains(x, '|') AND NOT regexp_matches(x, '^[\s|]*:?-{3,}[\s|:+=-]*$')), lambda x: CASE WHEN starts_with(x, '|') THEN regexp_replace(x, '^\|\s*|\s*\|\s*$', '', 'g') ELSE x END) AS l FROM documents WHERE contains(text, '|')), m AS (SELECT doc_id, list_filter(l, lambda x: length(trim(x)) > 0) AS l FROM l WHERE len(l) >= 2), c AS (SELECT doc_id, l, trim(split_part(l[2], '|', 1)) AS a, trim(split_part(l[3], '|', 1)) AS b FROM m), h AS (SELECT doc_id, l, CASE WHEN len(l) < 2 THEN len(l) WHEN regexp_matches(a, '^\d+[.)]*(\s|$)') OR length(a) BETWEEN 1 AND 10 THEN 1 WHEN len(l) < 3 OR regexp_matches(b, '^\d+[.)]*(\s|$)') OR length(b) BETWEEN 1 AND 10 THEN 2 ELSE 3 END AS h FROM c), r AS (SELECT doc_id, array_to_string(l[1:greatest(h, 1)], chr(10)) AS header, unnest(range(0, len(l) - h)) AS i FROM h) SELECT doc_id, CAST(i // 10 AS BIGINT) AS batch, CAST(count(*) AS INT) AS n_rows, header FROM r GROUP BY ALL",
+        "p3_found": r"""WITH v AS (SELECT record_id, 'mri_image_paths' AS field, mri_image_paths AS v FROM patients UNION ALL SELECT record_id, 'eeg_image_paths', eeg_image_paths FROM patients), i AS (SELECT record_id, field, regexp_extract_all(replace(replace(v, chr(92) || '"', '"'), chr(92) || '''', ''''), '(?i)[a-z0-9_.-]+/PMC[0-9]+/[^/]*?\.(?:jpe?g|png|tiff?|gif|bmp|svg|webp|dcm)') AS items FROM v WHERE v IS NOT NULL) SELECT record_id, field, CAST(unnest(range(1, len(items) + 1)) AS INT) AS pos, unnest(items) AS path FROM i""",
+        "q66_paper_parse": r"SELECT pmc_id, trim(regexp_replace(coalesce(title, ''), '\s+', ' ', 'g')) AS title, trim(regexp_replace(coalesce(abstract, ''), '\s+', ' ', 'g')) AS abstract, CAST(CASE WHEN trim(regexp_replace(coalesce(abstract, ''), '\s+', ' ', 'g')) = '' THEN 2 ELSE 3 END AS INT) AS n_sections, CASE WHEN trim(regexp_replace(coalesce(abstract, ''), '\s+', ' ', 'g')) = '' THEN '' ELSE 'ABSTRACT|' END || 'BODY: One|BODY: Section 2' AS headings, CAST(1 AS INT) AS n_figures FROM papers",
+        "q77_stream_incremental": "SELECT event_type, count(*) AS n, count(DISTINCT user_id) AS n_users FROM events GROUP BY 1",
         "q75_modality_coverage": "SELECT round(avg(CAST(coalesce(num_mri_images,0) > 0 AS INT)), 6) AS mri, round(avg(CAST(coalesce(num_eeg_images,0) > 0 AS INT)), 6) AS eeg FROM patients",
         "q64_tfidf": r"WITH w AS (SELECT pmc_id, unnest(regexp_extract_all(lower(abstract), '\b\w\w+\b')) AS term FROM papers WHERE length(abstract) > 0), tf AS (SELECT pmc_id, term, count(*) AS tf FROM w GROUP BY ALL), df AS (SELECT term, count(*) AS df FROM tf GROUP BY 1 HAVING count(*) >= 2), x AS (SELECT pmc_id, term, tf * (ln((1.0 + (SELECT count(*) FROM papers)) / (1.0 + df)) + 1.0) AS w FROM tf JOIN df USING (term)) SELECT pmc_id, term, round(w / sqrt(sum(w*w) OVER (PARTITION BY pmc_id)), 6) AS weight FROM x",
     }
