@@ -86,6 +86,18 @@ def test_neardup_of_texts_in_many_rows(spark):
     assert got == {i: 0 for i in range(31)} | {i: 61 for i in range(61, 73)}
 
 
+def test_derived_answers_tie_the_same_groups(spark, monkeypatch):
+    texts = [t for t in fixture(15, 40) if t]
+    df = spark.createDataFrame([(i, t, 0) for i, t in enumerate(texts)], "uid long, body string, salt long")
+    pairs = candidates.overlapping_pairs(df, 0.6, 12, candidates.triple_levels(df))
+    tied = lambda links: {(x.node, x.component) for x in components.components(links).collect()}
+    every = tied(candidates.verified(pairs, df, 0.6).select(F.col("a").alias("src"), F.col("b").alias("dst")))
+    assert tied(neardup.links_of(pairs, df)) == every and every
+    monkeypatch.setattr(neardup, "GROUP_PAIRS", 2)
+    monkeypatch.setattr(neardup, "_ROWS", 7)
+    assert tied(neardup.links_of(pairs, df)) == every
+
+
 def test_buckets_do_not_change_the_pairs(spark):
     texts = [t for t in fixture(12, 30) if t]
     df = spark.createDataFrame([(i, t, 0) for i, t in enumerate(texts)], "uid long, body string, salt long")

@@ -253,12 +253,16 @@ def likeness_of_batches(left: list[str], right: list[str], k: int = 3) -> np.nda
     """
     number: dict[str, int] = {}
     sides = [np.array([number.setdefault(t, len(number)) for t in texts], dtype=np.int64) for texts in (left, right)]
-    g, go = X.grams(*X.word_hashes(number), k)
+    return likeness_of_pairs(*X.grams(*X.word_hashes(number), k), *sides)
+
+
+def likeness_of_pairs(g: np.ndarray, go: np.ndarray, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """``likeness_of_batches`` of texts given by number; ``g, go``: the runs of each text and their offsets."""
     out, step, low = np.zeros(len(left)), 1 << 12, np.uint64(51)
     g = g >> np.uint64(64 - 51)
     for at in range(0, len(left), step):
         sets = []
-        for side in sides:
+        for side in (left, right):
             which = side[at : at + step]
             size = go[which + 1] - go[which]
             start = np.concatenate(([0], np.cumsum(size)))
@@ -267,7 +271,7 @@ def likeness_of_batches(left: list[str], right: list[str], k: int = 3) -> np.nda
             sets.append(held[np.concatenate(([True], held[1:] != held[:-1]))[: len(held)]])
         every = np.sort(np.concatenate(sets))
         both = every[1:][every[1:] == every[:-1]]
-        n = len(sides[0][at : at + step])
+        n = len(left[at : at + step])
         count = [np.bincount((s >> low).astype(np.int64), minlength=n) for s in (*sets, both)]
         union = count[0] + count[1] - count[2]
         out[at : at + step] = np.where(union > 0, count[2] / np.maximum(union, 1), 0.0)
@@ -291,7 +295,7 @@ def _check_stage(least):
 _FILTER_BITS = 1 << 23
 
 
-def _wanted(texts: DataFrame, pairs: DataFrame) -> DataFrame:
+def wanted(texts: DataFrame, pairs: DataFrame) -> DataFrame:
     """The texts that may stand in a pair: a bit table of fixed size (at most 131,072 longs, so safe to broadcast)
     keeps most others out of the shuffle.  It lets some through, which the joins then drop; it never drops one."""
     place = lambda c: F.pmod(F.xxhash64(c), F.lit(_FILTER_BITS))
@@ -303,7 +307,7 @@ def _wanted(texts: DataFrame, pairs: DataFrame) -> DataFrame:
 
 def verified(pairs: DataFrame, texts: DataFrame, least: float) -> DataFrame:
     """``a, b, likeness`` of the pairs whose exact likeness (runs of three words) is at least ``least``."""
-    bodies = _wanted(texts.select("uid", "body"), pairs)
+    bodies = wanted(texts.select("uid", "body"), pairs)
     right = pairs.select("a", "b").join(bodies.withColumnsRenamed({"uid": "b", "body": "right_body"}), "b")
     both = right.join(bodies.withColumnsRenamed({"uid": "a", "body": "left_body"}), "a")
     return both.select("a", "b", "left_body", "right_body").mapInArrow(_check_stage(least), "a bigint, b bigint, likeness double")
