@@ -161,7 +161,9 @@ def _meet_lists(digest, text, place, size, side, sketch, ratio):
     early = n - place >= 2 * part * n - _SLACK
     most = np.floor((n - place) / part - n + _SLACK).astype(np.int64)  # the largest partner at this place
     low = np.ceil(n * ratio - _SLACK).astype(np.int64)
-    planes = [np.ascontiguousarray(sketch[:, j])[text] for j in range(sketch.shape[1])]
+    # the first half of the sketches lies in the order of the lists; the rest is only looked up for pairs that pass it
+    half = max(sketch.shape[1] // 2, 1)
+    planes, rest = [np.ascontiguousarray(sketch[:, j])[text] for j in range(half)], np.ascontiguousarray(sketch[:, half:])
     cost = (allowed * n + _SLACK).astype(np.float32)
     one_side = bool((side == 3).all())
     on = [np.ones(len(text), bool)] if one_side else [(side[text] & 1) > 0, (side[text] & 2) > 0]
@@ -176,15 +178,14 @@ def _meet_lists(digest, text, place, size, side, sketch, ratio):
         some = np.flatnonzero(partners)
         left = tuple(x[theirs] for x in (text, most, cost)), [x[theirs] for x in planes]
         right = tuple(x[ours[some]] for x in (text, n, cost)), [x[ours[some]] for x in planes]
-        yield from _stretches(left, right, first[some], partners[some])
+        yield from _stretches(left, right, first[some], partners[some], rest)
 
 
-def _stretches(theirs, ours, first, partners):
+def _stretches(theirs, ours, first, partners, rest):
     """The pairs of each of ``ours`` with its stretch of ``theirs`` that pass both bounds.  Everything is kept in the
     order of the lists, so a stretch is read from one place; a sketch is compared word by word and left when too unlike."""
     (t_text, t_most, t_cost), t_planes = theirs
     (o_text, o_size, o_cost), o_planes = ours
-    half = max(len(t_planes) // 2, 1)
     cum, begin = np.cumsum(partners), 0
     while begin < len(partners):
         base = cum[begin - 1] if begin else 0
@@ -196,12 +197,12 @@ def _stretches(theirs, ours, first, partners):
         o, t = o[near], t[near]
         bound = t_cost[t] + o_cost[o]
         apart = np.zeros(len(o), np.uint16)
-        for j, (mine, other) in enumerate(zip(o_planes, t_planes)):
+        for mine, other in zip(o_planes, t_planes):
             apart += np.bitwise_count(mine[o] ^ other[t])
-            if j + 1 in (half, len(t_planes)):
-                near = np.flatnonzero(apart <= bound)
-                o, t, bound, apart = o[near], t[near], bound[near], apart[near]
-        a, b = t_text[t], o_text[o]
+        near = np.flatnonzero(apart <= bound)
+        a, b = t_text[t[near]], o_text[o[near]]
+        near = np.flatnonzero(apart[near] + np.bitwise_count(rest[a] ^ rest[b]).sum(axis=1, dtype=np.int64) <= bound[near])
+        a, b = a[near], b[near]
         if len(a):
             differ = a != b
             yield a[differ], b[differ]
