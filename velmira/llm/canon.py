@@ -111,32 +111,39 @@ def best_matches(values: DataFrame, spellings: DataFrame, threshold: float) -> D
     spellings and joined by shuffle beyond; its token counts (pairs of characters in use) fit one row.
     """
     spellings = spellings.where("spelling <> ''").distinct()
-    refs = cut(spellings.withColumn("ref_set", pairs_of(F.col("spelling"))).withColumnRenamed("spelling", "ref_spelling"))
+    refs = spellings.withColumn("ref_set", pairs_of(F.col("spelling"))).withColumnRenamed("spelling", "ref_spelling")
+    refs = cut(refs.withColumn("ref_no", F.xxhash64("ref_id", "ref_spelling", "side", "exact")))
     small = refs.limit(REFERENCE_ROWS + 1).count() <= REFERENCE_ROWS
     counts = refs.select(F.explode("ref_set").alias("token")).groupBy("token").agg(F.count("*").alias("df"))
     rarity = counts.agg(F.map_from_entries(F.collect_list(F.struct("token", "df"))).alias("rarity"))
 
-    def prefixes(df: DataFrame, tokens: str, n: str, place: str) -> DataFrame:
-        """One row per prefix token; tokens in order of rarity, then of themselves."""
+    def ordered(df: DataFrame, tokens: str, n: str) -> DataFrame:
+        """Tokens in order of rarity, then of themselves."""
         rare = F.transform(tokens, lambda t: F.struct(F.coalesce(F.try_element_at("rarity", t), F.lit(0)).alias("df"), t.alias("token")))
-        ordered = df.join(F.broadcast(rarity)).withColumn(tokens, F.transform(F.array_sort(rare), lambda x: x["token"])).drop("rarity").withColumn(n, F.size(tokens))
+        return df.join(F.broadcast(rarity)).withColumn(tokens, F.transform(F.array_sort(rare), lambda x: x["token"])).drop("rarity").withColumn(n, F.size(tokens))
+
+    def prefixes(df: DataFrame, key: str, tokens: str, n: str, place: str) -> DataFrame:
+        """One row per prefix token."""
         length = (F.col(n) - F.ceil(F.lit(threshold) * F.col(n) - 1e-9) + 1).cast("int")
-        return ordered.select("*", F.posexplode(F.slice(tokens, 1, length)).alias(place, "token"))
+        return df.select(key, n, F.posexplode(F.slice(tokens, 1, length)).alias(place, "token"))
 
     tasks = int(values.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    sets = values.select("spelling").repartition(tasks, "spelling").withColumn("set", pairs_of(F.col("spelling")))
-    left = prefixes(sets, "set", "n", "place")
-    right = prefixes(refs, "ref_set", "m", "ref_place")
-    # positional filter at the first shared token: what can still agree behind it
-    most = 1 + F.least(F.col("n") - F.col("place") - 1, F.col("m") - F.col("ref_place") - 1)
+    sets = cut(ordered(values.select("spelling").repartition(tasks, "spelling").withColumn("set", pairs_of(F.col("spelling"))), "set", "n")).repartition(tasks, "spelling")
+    refs = cut(ordered(refs, "ref_set", "m"))
+    left, right = prefixes(sets, "spelling", "set", "n", "place"), prefixes(refs, "ref_no", "ref_set", "m", "ref_place")
+    # only numbers are gathered per pair; the places of the first shared token, the left one before the right one
+    first = F.min(F.col("place").cast("long") * (1 << 20) + F.col("ref_place"))
     met = (
         left.join(F.broadcast(right) if small else right, "token")
         .where((F.col("m") >= threshold * F.col("n")) & (F.col("n") >= threshold * F.col("m")))
-        .groupBy("spelling", "ref_id", "ref_spelling", "side", "exact")
-        .agg(F.min_by(F.struct("set", "ref_set", "n", "m", most.alias("most")), "place").alias("x"))
-        .select("spelling", "ref_id", "side", "exact", "x.*")
-        .where(F.col("most") / (F.col("n") + F.col("m") - F.col("most")) >= threshold - 1e-9)
+        .groupBy("spelling", "ref_no", "n", "m")
+        .agg(first.alias("first"))
     )
+    # positional filter: what can still agree behind the first shared token
+    most = 1 + F.least(F.col("n") - F.floor(F.col("first") / (1 << 20)) - 1, F.col("m") - F.col("first") % (1 << 20) - 1)
+    met = met.where(most / (F.col("n") + F.col("m") - most) >= threshold - 1e-9).select("spelling", "ref_no")
+    entries = refs.select("ref_no", "ref_id", "side", "exact", "ref_set")
+    met = met.join(sets.select("spelling", "set"), "spelling").join(F.broadcast(entries) if small else entries, "ref_no")
     likeness = lambda x, y: F.size(F.array_intersect(x, y)) / F.greatest(F.size(F.array_union(x, y)), F.lit(1))
     checked = met.withColumn("likeness", likeness("set", "ref_set")).where((F.col("likeness") >= threshold) & (~F.col("exact") | (F.col("likeness") == 1)))
     side = pairs_of(F.col("side"))
