@@ -27,7 +27,7 @@ def balanced(train: DataFrame, label: str) -> DataFrame:
 
 def _regression(label: str, features: str, n: int) -> LogisticRegression:
     # the usual penalty of one over all rows, so it weighs 1 / n beside a mean loss
-    return LogisticRegression(labelCol=label, featuresCol=features, weightCol="weight", maxIter=200, regParam=1.0 / max(n, 1))
+    return LogisticRegression(labelCol=label, featuresCol=features, weightCol="weight", maxIter=200, tol=1e-4, regParam=1.0 / max(n, 1))
 
 
 def fit_text(train: DataFrame, text: str, label: str, max_features: int = 20_000, least_df: int = 2) -> PipelineModel:

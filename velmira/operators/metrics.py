@@ -31,7 +31,7 @@ def class_report(df: DataFrame, by: list[str]) -> DataFrame:
 
 def full_report(df: DataFrame, by: list[str]) -> DataFrame:
     """``class_report`` with the rows ``accuracy`` (its value as f1), ``macro avg`` and ``weighted avg`` of each group."""
-    report = class_report(df, by)
+    report = class_report(df, by).withColumn("label", F.col("label").cast("string"))
     right = confusion(df, by).groupBy(*by).agg(F.sum("n").alias("support"), (F.sum(F.when(F.col("y") == F.col("p"), F.col("n")).otherwise(0)) / F.sum("n")).alias("f1"))
     none = F.lit(None).cast("double")
     accuracy = right.select(*by, F.lit("accuracy").alias("label"), none.alias("precision"), none.alias("recall"), "f1", "support")
