@@ -21,6 +21,8 @@ read whole.  The list of misread forms is broadcast only up to ``BROADCAST_FORMS
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -108,9 +110,9 @@ def _words(text: Column) -> Column:
     return F.regexp_extract_all(F.regexp_replace(plain, _BRACKET, "¢"), F.lit(_WORD), F.lit(0))
 
 
-def rival_forms(texts: DataFrame) -> DataFrame:
-    """``form, right``: words of the collection and the much more frequent form of the same skeleton."""
-    forms = texts.select(F.explode(_words(F.col("text"))).alias("form")).groupBy("form").agg(F.count("*").alias("n"))
+def rival_forms(words: DataFrame) -> DataFrame:
+    """``form, right``: words of ``words`` (``w``) and the much more frequent form of the same skeleton."""
+    forms = words.select(F.explode("w").alias("form")).groupBy("form").agg(F.count("*").alias("n"))
     forms = forms.where(F.length("form") >= 3).withColumn("skeleton", F.explode(skeletons(F.col("form"))))
     group = Window.partitionBy("skeleton")
     ranked = forms.withColumn("best", F.max(F.struct("n", F.col("form").rlike(r"^[a-z]+$").alias("plain"), "form")).over(group))
@@ -120,23 +122,48 @@ def rival_forms(texts: DataFrame) -> DataFrame:
     return found.groupBy("form").agg(F.max_by("best.form", F.struct("best.n", "best.form")).alias("right"))
 
 
-def misread_forms(texts: DataFrame) -> DataFrame:
-    """``form, right``: the rival forms whose places speak for the prevailing form."""
-    rivals = cut(rival_forms(texts))
-    watched = rivals.select(F.col("form").alias("word"), "right").unionByName(rivals.select(F.col("right").alias("word"), "right").distinct())
-    placed = F.transform("w", lambda x, i: F.struct(x.alias("word"), F.coalesce(F.get("w", i - 1), F.lit("")).alias("before"), F.coalesce(F.get("w", i + 1), F.lit("")).alias("after")))
-    places = texts.select(_words(F.col("text")).alias("w")).select(F.inline(placed)).join(_joinable(watched), "word")
-    places = cut(places.groupBy("word", "right", "before", "after").agg(F.count("*").alias("n")))
+def _sieve(keys: DataFrame, hashed: Column) -> Callable[[Column], Column]:
+    """A test of hashes against the keys, which lets some others through but drops none: a table of at most 2^22 bits
+    (half a megabyte, whatever the number of keys) that goes into the plan as one constant."""
+    bits = min(max(1 << 14, 1 << int(32 * keys.count()).bit_length()), 1 << 22)
+    place = lambda h: F.pmod(h, F.lit(bits))
+    rows = keys.select(place(hashed).alias("p")).groupBy(F.shiftright("p", 6).alias("i")).agg(F.bit_or(F.expr("shiftleft(1L, cast(p % 64 as int))")).alias("b")).collect()
+    table = [0] * (bits // 64)
+    for r in rows:
+        table[r.i] = r.b
+    constant = F.from_json(F.lit(str(table)), "array<bigint>")
+    return lambda h: F.getbit(F.get(constant, F.shiftright(place(h), 6).cast("int")), F.pmod(h, F.lit(64)).cast("int")) == 1
+
+
+def misread_words(texts: DataFrame, key: list[str]) -> DataFrame:
+    """``key, form, right``: the misread words of each text (``key, text``), once for every place.
+
+    Only words that may be misread, and only neighbours that some of them stand next to, leave their text.
+    """
+    words = texts.select(*key, _words(F.col("text")).alias("w"))
+    rivals = cut(rival_forms(words))
+    may_be = _sieve(rivals, F.xxhash64("form"))
+    near = lambda i: F.coalesce(F.get("w", i), F.lit(""))
+    odd = F.transform("w", lambda x, i: F.when(may_be(F.xxhash64(x)), F.struct(x.alias("form"), near(i - 1).alias("before"), near(i + 1).alias("after"))))
+    odd = words.select(*key, F.inline(F.filter(odd, lambda p: p.isNotNull()))).join(_joinable(rivals), "form")
+    odd = cut(odd.select(*key, "form", "right", "before", "after"))
     # the prevailing form has to be usual in the very place, not only somewhere: before a word or behind one it stands
     # PLACE_RATIO times as often as the odd form does
-    odd = places.where("word <> right")
-    for side in ("before", "after"):
-        at = places.where(f"{side} <> ''").groupBy("right", side, "word").agg(F.sum("n").alias("m"))
-        usual = at.where("word = right").select("right", side, F.col("m").alias("usual"))
-        fits = at.where("word <> right").join(usual, ["right", side]).where(F.col("usual") >= PLACE_RATIO * F.col("m"))
-        odd = odd.join(fits.select("word", "right", side, F.lit(True).alias(f"fits_{side}")), ["word", "right", side], "left")
+    asked = odd.where("before <> ''").select(F.col("before").alias("l"), F.col("right").alias("r"))
+    asked = cut(asked.union(odd.where("after <> ''").select(F.col("right").alias("l"), F.col("after").alias("r"))).distinct())
+    is_asked = _sieve(asked, F.xxhash64("l", "r"))
+    pairs = F.transform("w", lambda x, i: F.when(is_asked(F.xxhash64(F.get("w", i - 1), x)), F.struct(F.get("w", i - 1).alias("l"), x.alias("r"))))
+    counts = words.select(F.inline(F.filter(pairs, lambda p: p.isNotNull()))).where("l is not null").groupBy("l", "r").agg(F.count("*").alias("usual"))
+    counts = cut(counts)
+    places = odd.groupBy("form", "right", "before", "after").agg(F.count("*").alias("n"))
+    for side, left, right in (("before", "before", "right"), ("after", "right", "after")):
+        at = places.where(f"{side} <> ''").groupBy("form", "right", side).agg(F.sum("n").alias("m"))
+        usual = counts.select(F.col("l").alias(left), F.col("r").alias(right), "usual")
+        fits = at.join(usual, [left, right]).where(F.col("usual") >= PLACE_RATIO * F.col("m"))
+        places = places.join(fits.select("form", "right", side, F.lit(True).alias(f"fits_{side}")), ["form", "right", side], "left")
     supported = F.sum(F.when(F.col("fits_before").isNotNull() | F.col("fits_after").isNotNull(), F.col("n")).otherwise(0))
-    return odd.groupBy(F.col("word").alias("form"), "right").agg((supported / F.sum("n")).alias("support")).where(F.col("support") >= SUPPORT).select("form", "right")
+    good = cut(places.groupBy("form", "right").agg((supported / F.sum("n")).alias("support")).where(F.col("support") >= SUPPORT).select("form", "right"))
+    return odd.join(_joinable(good), ["form", "right"]).select(*key, "form", "right")
 
 
 def _joinable(forms: DataFrame) -> DataFrame:
@@ -150,9 +177,7 @@ def traces(patients: DataFrame, evidence: DataFrame) -> DataFrame:
     flowed = cut(reflowed(marked_lines(texts)))
     single = texts.where(~F.col("text").rlike(r"[\r\n]"))
     whole = single.select("field", "row_id", "text").unionByName(flowed.where("text is not null").select("field", "row_id", "text"))
-    wrong = _joinable(misread_forms(whole))
-    words = whole.select("field", "row_id", F.explode(F.array_distinct(_words(F.col("text")))).alias("form")).where(F.length("form") >= 3)
-    chars = words.join(wrong, "form").select("field", "row_id").distinct().withColumn("kind", F.lit("chars"))
+    chars = misread_words(whole, ["field", "row_id"]).select("field", "row_id").distinct().withColumn("kind", F.lit("chars"))
     kinds = F.filter(F.array(*(F.when(F.col(k), F.lit(k)) for k in ("hyphen", "header", "pageno"))), lambda k: k.isNotNull())
     lines = flowed.select("field", "row_id", F.explode(kinds).alias("kind"))
     return lines.unionByName(chars).distinct()
@@ -165,9 +190,8 @@ def repaired(patients: DataFrame, evidence: DataFrame) -> DataFrame:
     flowed = cut(reflowed(marked_lines(texts)))
     single = texts.where(~F.col("text").rlike(r"[\r\n]"))
     whole = single.select("field", "row_id", F.xxhash64("text").alias("text_key"), "text").unionByName(flowed.select("field", "row_id", "text_key", F.coalesce("text", F.lit("")).alias("text")))
-    wrong = _joinable(misread_forms(whole))
-    words = whole.select("field", "row_id", "text_key", F.explode(F.array_distinct(_words(F.col("text")))).alias("form")).where(F.length("form") >= 3)
-    fixes = words.join(wrong, "form").groupBy("field", "row_id", "text_key").agg(F.map_from_entries(F.collect_set(F.struct("form", "right"))).alias("fixes"))
+    key = ["field", "row_id", "text_key"]
+    fixes = misread_words(whole, key).groupBy(*key).agg(F.map_from_entries(F.collect_set(F.struct("form", "right"))).alias("fixes"))
     border = r"(?<=[\p{L}0-9!|¢])(?![\p{L}0-9!|¢])|(?<![\p{L}0-9!|¢])(?=[\p{L}0-9!|¢])"
 
     def right(word: Column) -> Column:
@@ -176,4 +200,4 @@ def repaired(patients: DataFrame, evidence: DataFrame) -> DataFrame:
         return F.coalesce(F.when(word.rlike(r"^\p{Lu}"), capital).otherwise(known), word)
 
     fixed = F.array_join(F.transform(F.split(F.regexp_replace("text", _BRACKET, "¢"), border), right), "")
-    return whole.join(fixes, ["field", "row_id", "text_key"], "left").select("field", "row_id", F.when(F.col("fixes").isNull(), F.col("text")).otherwise(fixed).alias("text"))
+    return whole.join(fixes, key, "left").select("field", "row_id", F.when(F.col("fixes").isNull(), F.col("text")).otherwise(fixed).alias("text"))
