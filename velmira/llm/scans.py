@@ -106,13 +106,17 @@ _BRACKET = r"(?<=\p{L})\((?=\p{L}|\s+\p{Ll})"  # a bracket that a word runs into
 
 
 def _words(text: Column) -> Column:
-    plain = F.regexp_replace(F.lower(text), r"!(?=\s|$|[.,;:)\"”])", " ")
-    return F.regexp_extract_all(F.regexp_replace(plain, _BRACKET, "¢"), F.lit(_WORD), F.lit(0))
+    # the marks are rare, so most texts go through one pattern only
+    low = F.lower(text)
+    plain = F.when(low.contains("!"), F.regexp_replace(low, r"!(?=\s|$|[.,;:)\"”])", " ")).otherwise(low)
+    marked = F.when(plain.contains("("), F.regexp_replace(plain, _BRACKET, "¢")).otherwise(plain)
+    return F.regexp_extract_all(marked, F.lit(_WORD), F.lit(0))
 
 
-def rival_forms(words: DataFrame) -> DataFrame:
-    """``form, right``: words of ``words`` (``w``) and the much more frequent form of the same skeleton."""
-    forms = words.select(F.explode("w").alias("form")).groupBy("form").agg(F.count("*").alias("n"))
+def rival_forms(texts: DataFrame) -> DataFrame:
+    """``form, right``: words of the texts and the much more frequent form of the same skeleton."""
+    # exploded as an expression: of a column Spark would first test the size, and read every text twice for that
+    forms = texts.select(F.explode(_words(F.col("text"))).alias("form")).groupBy("form").agg(F.count("*").alias("n"))
     forms = forms.where(F.length("form") >= 3).withColumn("skeleton", F.explode(skeletons(F.col("form"))))
     group = Window.partitionBy("skeleton")
     ranked = forms.withColumn("best", F.max(F.struct("n", F.col("form").rlike(r"^[a-z]+$").alias("plain"), "form")).over(group))
@@ -141,7 +145,7 @@ def misread_words(texts: DataFrame, key: list[str]) -> DataFrame:
     Only words that may be misread, and only neighbours that some of them stand next to, leave their text.
     """
     words = texts.select(*key, _words(F.col("text")).alias("w"))
-    rivals = cut(rival_forms(words))
+    rivals = cut(rival_forms(texts))
     may_be = _sieve(rivals, F.xxhash64("form"))
     near = lambda i: F.coalesce(F.get("w", i), F.lit(""))
     odd = F.transform("w", lambda x, i: F.when(may_be(F.xxhash64(x)), F.struct(x.alias("form"), near(i - 1).alias("before"), near(i + 1).alias("after"))))
