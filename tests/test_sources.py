@@ -154,3 +154,27 @@ def test_decisions_and_grids(spark):
     assert [r.d for r in df.collect()] == [w for _, w in scores]
     shapes = spark.createDataFrame([(100, 100), (400, 100), (100, 400), (130, 100)], "w int, h int").select(F.size(images.aspect_grid(F.col("w"), F.col("h"))).alias("n"))
     assert [r.n for r in shapes.collect()] == [4, 2, 2, 1]
+
+
+def test_small_functions(spark):
+    from velmira.functions import text
+
+    definition = 'Classes of the task\n"Focal": one side\n"Unknown": neither\nNote: see "Focal"'
+    df = spark.createDataFrame([(definition, ["Focal"]), (definition, []), (None, ["Focal"])], "d string, c array<string>")
+    got = [r.x for r in df.select(text.lines_about(F.col("d"), F.col("c")).alias("x")).collect()]
+    assert got == ['Classes of the task\n"Focal": one side\nNote: see "Focal"', "Classes of the task", None]
+    flat = report.tier_rows(spark.createDataFrame([("b", (0.5, 3), None)], "name string, gold struct<f1:double,n:int>, bronze struct<f1:double,n:int>"), ["name"], ["gold", "bronze"], ["f1", "n"])
+    assert sorted(tuple(r) for r in flat.collect()) == [("b", "bronze", None, None), ("b", "gold", 0.5, 3)]
+    seen = spark.createDataFrame([("a", 3), ("a", 1), ("b", 2)], "k string, t int").select("k", F.timestamp_seconds("t").alias("ts"))
+    assert {r.k: r.ts.second for r in incremental.first_seen(seen, "k", "ts").collect()} == {"a": 1, "b": 2}
+    parts = spark.createDataFrame([("t", 0), ("t", 4)], "task string, label_id int"), spark.createDataFrame([("t", 2), ("u", 1)], "task string, label_id int")
+    assert {r.task: r.n_classes for r in splits.head_sizes(list(parts), ["task"], "label_id").collect()} == {"t": 5, "u": 2}
+    assert splits.support(parts[0], ["task"]).first().status == "skipped"
+
+
+def test_captions_by_level(spark):
+    from velmira.functions import text
+
+    df = spark.createDataFrame([("(A) left. (B) right.", "a", "said"), ("(A) left. (B) right.", "c", "said"), ("whole", "a", None), (None, "a", None)], "c string, l string, m string")
+    got = [(r.x.text, r.x.confidence) if r.x else None for r in df.select(text.caption_levels(F.col("c"), F.col("l"), F.col("m")).alias("x")).collect()]
+    assert got == [("left", 0.8), ("said", 0.6), ("whole", 0.3), None]
