@@ -25,6 +25,14 @@ def test_ages(spark):
     assert got == {k: half_up(v) for k, v in want.items()}
 
 
+def test_ages_of_rows_without_or_with_one_key(spark):
+    rows = [(None, "20", None, None), (None, "3 months", None, "PMC9000000001"), (7, "30", None, "PMC9000000001"), (7, "30", None, "PMC9000000001"), (8, "5", "Age in weeks.", None)]
+    df = spark.createDataFrame(rows, "record_id long, age string, demographics_notes string, pmc_id string")
+    got = sorted((r.record_id or 0, r.age_days) for r in units.ages_in_days(df).collect())
+    assert got == [(0, 91), (0, 7305), (7, 10958), (7, 10958), (8, 35)]
+    assert units.decoded_units(df).count() == 5
+
+
 def test_ages_empty(spark):
     assert ages(spark, []) == {}
 
