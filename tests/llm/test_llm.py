@@ -5,6 +5,7 @@ import re
 
 import numpy as np
 import pytest
+import zstandard
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
@@ -106,6 +107,19 @@ def test_buckets_do_not_change_the_pairs(spark):
     assert few == many and few
 
 
+def test_the_order_counts_the_triples_of_every_text(spark):
+    texts = [" ".join(f"w{i}x{j}" for j in range(4)) for i in range(300)] + ["one two three one two three"] * 50 + [None, "", "two words"]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "uid long, body string").repartition(7)
+    g, go = X.grams(*X.word_hashes(texts), 3)
+    v, _ = X.distinct_sorted(g, go)
+    want = np.bincount(candidates._cell(v), minlength=candidates._CELLS)
+    assert want.sum() == 300 * 2 + 50 * 3
+    level = np.frombuffer(zstandard.decompress(candidates.triple_levels(df)), np.uint8)
+    assert ((level > 0) == (want > 0)).all() and level[want.argmax()] == level.max() > 3
+    assert (candidates.triple_counts(df) == want).all()
+    assert not np.frombuffer(zstandard.decompress(candidates.triple_levels(df.where("false"))), np.uint8).any()
+
+
 def test_chunks_cut_alike_and_fractions(spark):
     r = random.Random(6)
     words = [f"w{r.randint(1, 500)}" for _ in range(400)]

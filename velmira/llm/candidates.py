@@ -37,9 +37,8 @@ _ROWS = 1 << 12  # texts sorted at a time: 12 bits of a sort key
 _LEVEL_BITS, _HASH_BITS = 6, 46
 #: Texts per bucket of postings, however many there are: a bucket is one task's work and has to fit in its memory.
 _BUCKET_TEXTS = 32_768
-_CELLS = 1 << 20
-#: Texts that the order is learned from: one in so many, and at most so many.  Any order is right, a good one is fast.
-_SAMPLE, _SAMPLE_MOST = 16, 20_000
+#: Triples are counted in so many cells by their hash, and the cells are summed in so many stretches.
+_CELLS, _STRETCHES = 1 << 20, 64
 _PACKED = "bucket int, texts binary, sketches binary, postings binary"
 
 
@@ -49,20 +48,43 @@ def _cell(grams: np.ndarray) -> np.ndarray:
 
 
 def _count_stage(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    count = np.zeros(_CELLS, np.int64)
+    count, level = np.zeros(_CELLS, np.int64), np.zeros(_CELLS, np.uint8)
     for batch in batches:
-        g, go = X.grams(*X.word_hashes(batch.column(0).to_pylist()), 3)
-        v, _ = X.distinct_sorted(g, go)
-        count += np.bincount(_cell(v), minlength=_CELLS)
-    level = np.clip(np.round(3 * np.log2(1 + count)), 0, (1 << _LEVEL_BITS) - 1).astype(np.uint8)
-    yield pa.RecordBatch.from_arrays([pa.array([zstandard.compress(level.tobytes())], pa.binary())], ["levels"])
+        keys, _ = ordered_sets(*X.word_hashes(batch.column(0).to_pylist()), level)
+        count += np.bincount(_cell(keys << np.uint64(64 - _HASH_BITS)), minlength=_CELLS)
+    yield _counted({i: c for i, c in enumerate(count.reshape(_STRETCHES, -1)) if c.any()})
+
+
+def _sum_stage(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    total: dict[int, np.ndarray] = {}
+    for batch in batches:
+        for i, packed in zip(*(c.to_pylist() for c in batch.columns)):
+            total[i] = total.get(i, 0) + np.frombuffer(zstandard.decompress(packed), np.int64)
+    yield _counted(total)
+
+
+def _counted(counts: dict[int, np.ndarray]) -> pa.RecordBatch:
+    packed = [zstandard.compress(c.tobytes()) for c in counts.values()]
+    return pa.RecordBatch.from_arrays([pa.array(list(counts), pa.int32()), pa.array(packed, pa.binary())], ["stretch", "counts"])
+
+
+def triple_counts(rows: DataFrame) -> np.ndarray:
+    """In how many of all texts of ``uid, body`` the triples of each cell stand.  Counted per task and summed by stretches of
+    cells, so the driver gets as many bytes whatever the size of the table."""
+    schema = "stretch int, counts binary"
+    parts = rows.select("body").mapInArrow(_count_stage, schema)
+    count = np.zeros((_STRETCHES, _CELLS // _STRETCHES), np.int64)
+    for r in parts.repartition(F.col("stretch")).mapInArrow(_sum_stage, schema).collect():
+        count[r.stretch] = np.frombuffer(zstandard.decompress(bytes(r.counts)), np.int64)
+    return count.ravel()
 
 
 def triple_levels(rows: DataFrame) -> bytes:
-    """How frequent the triples of each of a fixed number of cells are in a sample of ``uid, body`` (packed, small)."""
-    sample = rows.where(F.pmod(F.xxhash64("uid"), F.lit(_SAMPLE)) == 0).select("body").limit(_SAMPLE_MOST)
-    found = sample.coalesce(1).mapInArrow(_count_stage, "levels binary").collect()
-    return bytes(found[0].levels) if found else zstandard.compress(bytes(_CELLS))
+    """How frequent the triples of each cell are in all of ``uid, body`` (packed, small): thirds of a power of two, or as
+    many steps as the highest count leaves room for.  Any order is right, a good one is fast."""
+    count, most = triple_counts(rows), (1 << _LEVEL_BITS) - 1
+    steps = min(3.0, most / max(np.log2(1.0 + count.max()), 1.0))
+    return zstandard.compress(np.round(steps * np.log2(1.0 + count)).astype(np.uint8).tobytes())
 
 
 def ordered_sets(words: np.ndarray, offsets: np.ndarray, levels: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
