@@ -37,6 +37,25 @@ def test_ages_empty(spark):
     assert ages(spark, []) == {}
 
 
+def test_ages_decode_only_where_the_convention_can_be_outweighed(spark, monkeypatch):
+    # a paper whose ages are in months, some of them bare
+    rows = [(i, f"{100 + i % 7}" if i % 4 == 0 else f"{100 + i % 7} months", None, "PMC9000000001") for i in range(80)]
+    rows += [(100 + i, f"{30 + i % 9} years", None, "PMC9000000002") for i in range(80)] + [(200, "4", "Age in weeks.", None), (201, "7", None, None), (202, "2 years 3 months", None, None)]
+    df = spark.createDataFrame(rows, "record_id long, age string, demographics_notes string, pmc_id string")
+    days = lambda n, unit: math.floor(n * unit + 0.5)
+    soft = {r.record_id: r.age_days for r in units.ages_in_days(df, convention=0.5).collect()}
+    assert all(soft[i] == days(100 + i % 7, 30.4375) for i in range(80)) and soft[202] == 822
+
+    def unused(*_):
+        raise AssertionError("fitted or decoded without effect")
+
+    monkeypatch.setattr(units, "learned", unused)
+    monkeypatch.setattr(units, "_sequences", unused)
+    hard = {r.record_id: r.age_days for r in units.ages_in_days(df).collect()}
+    bare = {i: days(100 + i % 7, 365.25) for i in range(0, 80, 4)}
+    assert hard == {i: d for i, d in soft.items() if i < 200} | bare | {200: 28, 201: 2557, 202: 822}
+
+
 def test_viterbi_follows_the_level():
     import numpy as np
 
